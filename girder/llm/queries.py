@@ -20,6 +20,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.common import fresh_path, staged
+    from girder.llm.token_output import read_tokens, write_tokens
+
+    folder = fresh_path(spark, "tokens")
+    manifest = staged(write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_file()), "manifest")
+    return read_tokens(spark, folder, manifest)
+
+
 SQL: dict[str, str] = {
     "op8_line_dedup": r"""
 WITH lines AS (
@@ -38,5 +53,6 @@ GROUP BY l.doc_id""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_token_output": op7_token_output,
     "op8_line_dedup": op8_line_dedup,
 }
