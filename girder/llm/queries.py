@@ -35,6 +35,13 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, manifest)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.quality import quality_rules
+
+    rows = quality_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lang")
+
+
 SQL: dict[str, str] = {
     "op8_line_dedup": r"""
 WITH lines AS (
@@ -55,4 +62,5 @@ GROUP BY l.doc_id""",
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_output": op7_token_output,
     "op8_line_dedup": op8_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
