@@ -20,6 +20,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.pii import KINDS, find_pii, span_text
+
+    rows = find_pii(table(spark, sf_dir, "documents"))
+    counts = [_count_of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    base = F.sha2(span_text("base").cast("binary"), 256)
+    return rows.select("doc_id", *counts, base.alias("base_sha256"), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def _count_of(kind: int):
+    return F.size(F.filter("base", lambda s: s["k"] == kind)).cast("long")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from girder.llm.simhash import near_duplicates
 
@@ -92,6 +105,7 @@ GROUP BY l.doc_id""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op7_token_output": op7_token_output,
