@@ -127,13 +127,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class ByteHash:
+    """64-bit hashes of ranges of a buffer, from one running polynomial over it."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n, "up"), out=self.total[1:])
+        self.down = _power(_INVERSE, n + 1, "down")
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.down[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def range_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[s:e], from one running polynomial over the buffer."""
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n, "up"), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_INVERSE, n + 1, "down")[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return ByteHash(buf)(starts, ends)
 
 
 def per_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -48,6 +48,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    rows = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op7_token_output": op7_token_output,
     "op8_line_dedup": op8_line_dedup,
     "op10_quality_rules": op10_quality_rules,
