@@ -48,6 +48,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents"))
+    cols = {"source": "__source", "lang": "__lang", "topic": "__topic", "n_tokens": "__n", "probability": "__p", "kept": "__kept"}
+    return rows.select("doc_id", *[F.col(c).alias(n) for n, c in cols.items()])
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.licenses import scan_licenses
+
+    rows = scan_licenses(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_sentences", F.array_join("identifiers", ",").alias("identifiers"), F.array_join("licenses", ",").alias("licenses"), "first_sentence")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from girder.llm.toxicity import fit, held_out, score
 
@@ -112,12 +127,42 @@ FROM lines l LEFT JOIN hot h ON l.key = h.key
 GROUP BY l.doc_id""",
 }
 
+def _license_sql() -> str:
+    """The same scan as SQL, from the operator's own tables of sentences and rules."""
+    from girder.llm.licenses import RULES, SENTENCES
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    rules, seen = [], set()
+    for name, seq in RULES:
+        if seq not in seen:
+            rules.append((" " + "  ".join(seq) + " ", name))
+            seen.add(seq)
+    pattern = "|".join(k.replace(".", "[.]") for k, _ in rules)
+    names = ", ".join(f"('{k}', '{n}')" for k, n in rules)
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}), rules(seq, name) AS (VALUES {names}),
+parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;])[ 	]+', '' || chr(10), 'g'), '[
+]+'),
+            lambda p: trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda p: p <> '') AS s FROM documents),
+ids AS (SELECT p.doc_id, p.pos, k.id FROM (SELECT doc_id, unnest(s) AS sentence, unnest(range(0, len(s))) AS pos FROM parts) p JOIN known k ON p.sentence = k.sentence),
+lines AS (SELECT doc_id, count(*) AS n, min(pos) AS first, string_agg(id, ',' ORDER BY pos) AS identifiers, ' ' || string_agg(id, '  ' ORDER BY pos) || ' ' AS line FROM ids GROUP BY doc_id),
+found AS (SELECT l.doc_id, string_agg(r.name, ',' ORDER BY l.k) AS licenses
+          FROM (SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS k FROM (SELECT doc_id, regexp_extract_all(line, '{pattern}') AS t FROM lines)) l
+          JOIN rules r ON l.token = r.seq GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(l.n, 0) AS n_sentences, coalesce(l.identifiers, '') AS identifiers, coalesce(f.licenses, '') AS licenses, coalesce(l.first, -1) AS first_sentence
+FROM documents d LEFT JOIN lines l ON d.doc_id = l.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id"""
+
+
+SQL["op9_license_scan"] = _license_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_token_output": op7_token_output,
     "op8_line_dedup": op8_line_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
