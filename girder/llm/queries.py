@@ -48,6 +48,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from girder.llm.mixing import mix
 
@@ -141,7 +147,7 @@ def _license_sql() -> str:
     names = ", ".join(f"('{k}', '{n}')" for k, n in rules)
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}), rules(seq, name) AS (VALUES {names}),
-parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;])[ 	]+', '' || chr(10), 'g'), '[
+parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;])[ 	]+', '' || chr(10), 'g'), '[
 ]+'),
             lambda p: trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda p: p <> '') AS s FROM documents),
 ids AS (SELECT p.doc_id, p.pos, k.id FROM (SELECT doc_id, unnest(s) AS sentence, unnest(range(0, len(s))) AS pos FROM parts) p JOIN known k ON p.sentence = k.sentence),
@@ -159,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_token_output": op7_token_output,
