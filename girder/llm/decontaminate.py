@@ -111,6 +111,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("__id"), "spans")
     rows = docs.select(F.col(id_col), F.col(text_col)).join(found, F.col(id_col) == F.col("__id"), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.regexp_extract_all(text, F.lit(_GAP[:-1] + "*[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+|" + _GAP), F.lit(0))
+    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # the text keeps its capitals here
+    parts = F.regexp_extract_all(text, F.lit(f"{gap}*[^{gap[1:]}+|{gap}+"), F.lit(0))
     kept = F.filter(parts, lambda p, i: ~F.exists("spans", lambda s: (s["at"] <= i) & (i < s["end"])))
     return rows.select(id_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "")).alias(text_col))

@@ -38,7 +38,7 @@ def topic_of(text: Column) -> Column:
     """The form of a text, by the share of marks in it."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.char_length(t), F.lit(1))
-    share = lambda marks: (n - F.char_length(F.translate(t, marks, ""))) / n
+    share = lambda marks: (F.char_length(t) - F.char_length(F.translate(t, marks, ""))) / n
     return (
         F.when(share("|\t") > 0.02, "table")
         .when(share("#*$%&<>{}=") > 0.02, "marked")
