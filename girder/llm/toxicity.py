@@ -29,6 +29,8 @@ WINDOW, STRIDE = 48, 36
 WIDTH, HIDDEN = 16, 8
 TABLES = {"word": 1 << 15, "lead4": 1 << 13, "lead5": 1 << 13, "lead6": 1 << 13, "tail3": 1 << 12}
 SAMPLE = 2_500
+#: Optimizer steps at least, in all and on random windows, for small samples.
+STEPS, WARM = 300, 120
 
 _WORD = np.zeros(256, bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("A") : ord("Z") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[128:] = True
@@ -150,8 +152,12 @@ def _window_inputs(x: np.ndarray, first: np.ndarray, size: np.ndarray):
 
 
 def window_logits(p: dict, ids: np.ndarray, first: np.ndarray, size: np.ndarray, step: int = 2048) -> np.ndarray:
-    x = embed(p, ids)
-    return np.concatenate([forward(p, *_window_inputs(x, first[k : k + step], size[k : k + step])) for k in range(0, len(first), step)] or [np.zeros(0, np.float32)])
+    out = [np.zeros(0, np.float32)]
+    for k in range(0, len(first), step):  # windows are in order, so a step's words are one slice
+        f, n = first[k : k + step], size[k : k + step]
+        lo, hi = int(f[0]), int((f + n).max())
+        out.append(forward(p, *_window_inputs(embed(p, ids[lo:hi]), f - lo, n)))
+    return np.concatenate(out)
 
 
 def text_logits(p: dict, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -175,8 +181,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 1
         share = float(labels.mean()) if len(labels) else 0.0
         return {"share": share}
     rng = np.random.default_rng(seed)
-    buf, off = text_buffer(pa.array(texts, pa.large_string()))
-    ids, counts = word_ids(buf, off)
+    made = [word_ids(*text_buffer(pa.array(texts[k : k + 32], pa.large_string()))) for k in range(0, len(texts), 32)]
+    ids, counts = (np.concatenate(x) for x in zip(*made, strict=True))
+    pace = max(1, 3 * len(texts) // batch)
+    epochs, warm = max(epochs, -(-STEPS // pace)), max(2, -(-WARM // pace))
     first, size, doc = windows(counts)
     begin = np.searchsorted(doc, np.arange(len(texts)))
     n_win = np.bincount(doc, minlength=len(texts))
@@ -184,7 +192,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 1
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     weight = np.where(labels > 0, len(labels) / (2 * labels.sum()), len(labels) / (2 * (1 - labels).sum())).astype(np.float32)
     for epoch in range(epochs):
-        if epoch < 2:  # any window
+        if epoch < warm:  # any window
             pick = np.concatenate([begin + rng.integers(0, n_win) for _ in range(3)])
         else:
             logit = window_logits(p, ids, first, size)
