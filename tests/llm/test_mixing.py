@@ -1,7 +1,8 @@
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from girder.llm import mixing
+from girder.llm.common import text_buffer
 from tests.llm.helpers import awkward, prose, table
 
 
@@ -50,12 +51,10 @@ def test_sampling_is_stable_and_keeps_columns(spark):
     assert ids.count(25) in (0, 2)
 
 
-def test_topics_and_tokens(spark):
-    rows = [("a | b | c", "table"), ("### x $$$", "marked"), ("123 456 7", "numeric"), ('"who?" "me?"', "dialogue"), ("plain words", "prose"), (None, "prose"), ("", "prose")]
-    df = spark.createDataFrame([(t,) for t, _ in rows], "text string")
-    got = [r[0] for r in df.select(mixing.topic_of(F.col("text"))).collect()]
-    assert got == [x for _, x in rows]
-    assert [r[0] for r in df.select(mixing.n_tokens(F.col("text"))).collect()] == [5, 3, 3, 2, 2, 0, 0]
+def test_topics_and_tokens():
+    rows = [("a | b | c", "table"), ("### x $$$", "marked"), ("123 456 7", "numeric"), ('"who?" "me?"', "dialogue"), ("plain words", "prose"), (None, "prose"), ("", "prose"), (" \n", "prose"), ("é è|ê ü", "table")]
+    n, forms = mixing.form_of(*text_buffer(pa.array([t for t, _ in rows], pa.string())))
+    assert forms == [x for _, x in rows] and n.tolist() == [5, 3, 3, 2, 2, 0, 0, 0, 3]
 
 
 def test_empty_table(spark):
