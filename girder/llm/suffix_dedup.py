@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ SPAN, K = 50, 16
 REACH = SPAN - K + 1
 SHALLOW = 16
 BLOCK = 1 << 20
-BUCKET_BYTES, FLUSH_BYTES = 10 << 20, 24 << 20
+#: Bytes of records in a bucket, and of text that a task gathers before it sends.
+BUCKET_BYTES, FLUSH_BYTES = 10 << 20, 8 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 # ---------------------------------------------------------------- records
@@ -71,7 +73,7 @@ def block_records(buf: np.ndarray, off: np.ndarray):
         return none, none, none, none.astype(np.uint64)
     w = _words(buf)
     n = len(buf) - K + 1
-    h = mix(mix(w[:n].astype(np.uint64)) + w[8 : n + 8].astype(np.uint64))
+    h = mix(mix(w[:n].astype(np.uint64)) + (w[8 : n + 8].astype(np.uint64) >> np.uint64(128 - 8 * K)))
     least = _least((h & ~_PLACE) | np.arange(n, dtype=np.uint64), REACH)
     place = (least & _PLACE).astype(np.int64)
     start = np.arange(len(place))
@@ -86,10 +88,13 @@ def block_records(buf: np.ndarray, off: np.ndarray):
 
 
 class Sender:
-    """Gathers one task's records, settles what it can, and packs the rest for their buckets."""
+    """Gathers one task's records, settles what it can, and packs the rest for their buckets.
+
+    Records are places in the gathered texts; their bytes are copied only when their blob is packed.
+    """
 
     def __init__(self, buckets: int):
-        self.buckets, self.parts, self.size = buckets, [], 0
+        self.buckets, self.parts, self.texts, self.size = buckets, [], [], 0
 
     def add(self, ids: np.ndarray, buf: np.ndarray, off: np.ndarray) -> None:
         for at in range(0, max(len(buf), 1), BLOCK):
@@ -100,28 +105,31 @@ class Sender:
             own[-1] = len(part)
             first, count, anchor, h = block_records(part, own)
             doc = lo + np.searchsorted(own, first, side="right") - 1
-            size = count + SPAN - 1
-            self.parts.append((ids[doc], (first + at - off[doc]).astype(np.int32), count.astype(np.uint8), anchor.astype(np.uint8), h, gather(part, first, size)))
-            self.size += int(size.sum())
+            key = range_hash(part, first, first + count + (SPAN - 1)) ^ mix(h + anchor.astype(np.uint64))
+            self.parts.append((ids[doc], (first + at - off[doc]).astype(np.int32), count.astype(np.uint8), anchor.astype(np.uint8), h, key, first + (self.size + at)))
+        self.texts.append(buf)
+        self.size += len(buf)
 
     def flush(self):
         """Settled intervals (id, start, end), and (bucket, blob) pairs."""
-        ids, start, count, anchor, h, data = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
+        ids, start, count, anchor, h, key, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        data = np.concatenate(self.texts)
+        self.parts, self.texts, self.size = [], [], 0
         size = count.astype(np.int64) + SPAN - 1
-        at = np.cumsum(size) - size
-        key = range_hash(data, at, at + size) ^ mix(h + anchor)
         order = np.lexsort((start, ids, key))
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of each sorted record: the least document's first
-        later = order[ids[order] > ids[head]]
-        lead = head[ids[order] > ids[head]]
+        behind = ids[order] > ids[head]
+        later, lead = order[behind], head[behind]
         same = (size[later] == size[lead]) & (anchor[later] == anchor[lead])
         later, lead = later[same], lead[same]
-        differ = gather(data, at[later], size[later]) != gather(data, at[lead], size[lead])
         wrong = np.zeros(len(later), bool)
-        wrong[np.repeat(np.arange(len(later)), size[later])[differ]] = True
+        for k in range(0, len(later), 1 << 15):
+            l, r = later[k : k + (1 << 15)], lead[k : k + (1 << 15)]
+            differ = gather(data, at[l], size[l]) != gather(data, at[r], size[r])
+            if differ.any():
+                wrong[k + np.repeat(np.arange(len(l)), size[l])[differ]] = True
         later = later[~wrong]
         settled = (ids[later], start[later], start[later] + size[later].astype(np.int32))
         left = np.ones(len(ids), bool)
@@ -247,7 +255,7 @@ def bucket_intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     # records that share an anchor with another document's
     w = _words(data)
     a = at + anchor
-    one, two = w[a].astype(np.uint64), w[a + 8].astype(np.uint64)
+    one, two = w[a].astype(np.uint64), w[a + 8].astype(np.uint64) >> np.uint64(128 - 8 * K)
     order = np.lexsort((two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -345,8 +353,10 @@ def removed_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def release_shuffles(spark) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
