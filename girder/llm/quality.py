@@ -1,10 +1,14 @@
 """Quality rules: fixed text rules, then bands on the perplexity of a modified Kneser-Ney model.
 
-The model is a character 4-gram model for each language. Characters fall into 32 classes, so a 4-gram is
-a 20-bit key and a language's model has at most 2**20 entries: its size is bounded whatever the input's size,
-and MAX_MODELS bounds the number of languages with a model of their own (the others share one). Counts come
-from every document; they are summed in each task and then by Spark. A model is stored as a sorted key array with
-its counts, broadcast, and its discounted, interpolated log probabilities are laid out by key in each task.
+The model is a character 5-gram model for each language. A character is the low 12 bits of its code point (exact below
+U+1000), so a 5-gram is one 60-bit key and a text's start is padded with zeros. Counts come from every document: they
+are summed in each task, then by Spark, and the model's size follows the corpus. Its interpolated probabilities are joins
+and windows over the tables of distinct grams, one order after the other. Each gram is scored as if it had been
+counted once less (leave one out), so that a text does not vouch for its own characters.
+
+The finished model is a table of keys and costs. While it has at most BROADCAST_GRAMS entries (a count of it is taken first)
+it is broadcast as sorted key arrays, one for each language, that a task searches; a larger one is joined with the grams of the
+documents, with the same result. MAX_MODELS bounds the languages with a model of their own (the others share one).
 
 A document is rejected where its mean negative log probability leaves its language's band: the median plus or
 minus `width` robust standard deviations (from quartiles over all documents of the language), plus SLACK over the
@@ -21,37 +25,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.llm.common import IS_SPACE, mix, per_text, pieces, range_hash, runs, staged, text_buffer
 
-ORDER, BITS = 4, 5
-KEYS = 1 << (ORDER * BITS)
-MAX_MODELS = 32
+ORDER, BITS = 5, 12
+MAX_MODELS = 128
 OTHER = "\x00other"
-#: A third or so of the standard deviation of a character's cost.
-SLACK = 0.5
+BROADCAST_GRAMS = 6_000_000
+#: Grams that a counting task holds before it sends.
+HELD = 2_000_000
+#: The cost of a gram that the model has not seen, and about three standard deviations of a character's cost.
+UNSEEN, SLACK = 14.0, 6.0
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _classes() -> np.ndarray:
-    """Byte to class: 0 space, 1-26 letters, 27 digit, 28 other ASCII, 29/30 continuation bytes, 31 lead bytes."""
-    out = np.full(256, 28, np.int32)
-    out[128:192] = 29 + np.arange(64) % 2
-    out[192:] = 31
-    out[ord("0") : ord("9") + 1] = 27
-    for k in range(26):
-        out[[ord("a") + k, ord("A") + k]] = k + 1
-    out[IS_SPACE] = 0
-    return out
-
-
-_CLASS = _classes()
-
 # ---------------------------------------------------------------- base rules
 
 
@@ -114,139 +106,188 @@ def base_rules(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------- counting
 
 
-def gram_keys(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The 20-bit key of the 4-gram that ends at each byte; before a text stand spaces."""
-    s = _CLASS[buf]
-    key = s.copy()
-    length = np.diff(off)
+def gram_keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the 5-gram that ends at each character, and the texts' bounds in characters."""
+    lead = (buf & 0xC0) != 0x80
+    before = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(lead, out=before[1:])
+    at = np.flatnonzero(lead)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    last = np.append(at[1:], len(buf)) - 1
+    wide = ((buf[np.maximum(last - 1, 0)] & 63).astype(np.int64) << 6) | (buf[last] & 63)
+    s = np.where(last == at, np.where(IS_SPACE[buf[at]], 32, buf[at]), wide)
+    s = np.maximum(s, 1)
+    off = before[off]
+    key, length = s.copy(), np.diff(off)
     for d in range(1, ORDER):
-        back = np.zeros(len(s), np.int32)
+        back = np.zeros(len(s), np.int64)
         back[d:] = s[:-d] if d < len(s) else 0
         for k in range(d):
-            at = off[:-1][length > k] + k
-            back[at] = 0
+            back[off[:-1][length > k] + k] = 0
         key |= back << (BITS * d)
-    return key
+    return key, off
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    if len(parts) == 1:
+        return parts[0]
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    head = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[head], np.add.reduceat(n, head)
+
+
+def _by_language(batch: pa.RecordBatch):
+    """(language, places of its characters) and all gram keys and bounds of a piece."""
+    key, off = gram_keys(*text_buffer(batch.column("text")))
+    codes, langs = pd.factorize(np.array(batch.column("lang").fill_null("").to_pylist(), object))
+    owner = np.repeat(codes, np.diff(off))
+    return key, off, [(lang, slice(None) if len(langs) == 1 else owner == k) for k, lang in enumerate(langs)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's 4-gram counts by language, as sorted sparse arrays."""
-    total: dict[str, np.ndarray] = {}
+    """Each task's gram counts by language, as sorted arrays."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
 
     def flush():
-        for lang, counts in total.items():
-            key = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int32)), pa.array(counts[key])], names=["lang", "key", "n"])
-        total.clear()
+        for lang, parts in held.items():
+            key, n = _summed(parts)
+            for k in range(0, len(key), 1 << 16):
+                own = key[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(own), pa.array(n[k : k + (1 << 16)])], names=["lang", "key", "n"])
+        held.clear()
 
     for batch in batches:
         for b in pieces(batch, "text"):
-            buf, off = text_buffer(b.column("text"))
-            key = gram_keys(buf, off)
-            codes, langs = pd.factorize(np.array(b.column("lang").fill_null("").to_pylist(), object))
-            owner = np.repeat(codes, np.diff(off))
-            for k, lang in enumerate(langs):
-                own = key if len(langs) == 1 else key[owner == k]
-                if lang not in total and len(total) >= 8:
+            key, _, langs = _by_language(b)
+            for lang, own in langs:
+                if len(key[own]):
+                    held.setdefault(lang, []).append(np.unique(key[own], return_counts=True))
+                    size += len(held[lang][-1][0])
+            if size > HELD:
+                for lang in held:
+                    held[lang] = [_summed(held[lang])]
+                size = sum(len(x[0][0]) for x in held.values())
+                if size > HELD // 2:
                     yield from flush()
-                counts = np.bincount(own, minlength=KEYS)
-                total[lang] = total[lang] + counts if lang in total else counts
+                    size = 0
     yield from flush()
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, key, n): counts over all documents."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return rows.mapInArrow(_count, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- modified Kneser-Ney
 
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """D1, D2 and D3+ from counts of counts; 0.5, 1 and 1.5 where those don't exist."""
-    c = np.array([np.count_nonzero(n == k) for k in range(1, 5)], float)
-    if (c <= 0).any():
-        return np.array([0.0, 0.5, 1.0, 1.5])
+def discounts(c: list[int]) -> list[float]:
+    """D1, D2 and D3+ from the numbers of grams counted 1 to 4 times; 0.5, 1 and 1.5 where one is missing."""
+    if min(c) <= 0:
+        return [0.5, 1.0, 1.5]
     y = c[0] / (c[0] + 2 * c[1])
     d = [k - (k + 1) * y * c[k] / c[k - 1] for k in (1, 2, 3)]
-    return np.array([0.0, *np.clip(d, [0.1, 0.1, 0.1], [0.95, 1.9, 2.9])])
-
-
-def _level(keys: np.ndarray, n: np.ndarray, lower: np.ndarray, order: int) -> np.ndarray:
-    """Probabilities of all keys of an order (laid out by key), given those of the order below."""
-    size = 1 << (BITS * order)
-    d = _discounts(n)[np.minimum(n, 3)]
-    context = keys >> BITS
-    total = np.bincount(context, weights=n, minlength=size >> BITS).astype(float)
-    left = np.bincount(context, weights=d, minlength=size >> BITS).astype(float)
-    seen = np.divide(left, total, out=np.ones_like(total), where=total > 0)
-    p = np.repeat(seen, 1 << BITS)
-    p *= np.tile(lower, 1 << BITS) if order > 1 else lower
-    p[keys] += (n - d) / total[context]
-    return p
-
-
-def kneser_ney(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Log probabilities of all 4-gram keys, from the sorted keys that were counted."""
-    p = np.full(1 << BITS, 1.0 / (1 << BITS))
+    return [float(x) for x in np.clip(d, [0.1, 0.1, 0.1], [0.95, 1.9, 2.9])]
+
+
+def _discount(a: Column) -> Column:
+    return F.when(a <= 0, 0.0).when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def _mask(order: int) -> Column:
+    return F.lit((1 << (BITS * order)) - 1).cast("long")
+
+
+def kneser_ney(counts: DataFrame, left_out: int = 1) -> DataFrame:
+    """(lang, key, p): the interpolated probability of each counted 5-gram's last character after the four before it.
+
+    Orders below the highest count the characters that stand before a gram. `left_out` is taken off each gram's count.
+    """
+    spark = counts.sparkSession
+    level = {ORDER: counts.select("lang", "key", F.col("n").alias("a"))}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = level[order + 1].select("lang", F.col("key").bitwiseAND(_mask(order)).alias("key"))
+        level[order] = staged(shorter.groupBy("lang", "key").agg(F.count("*").alias("a")), f"order{order}")
+    met = [F.count(F.when(F.col("a") == k, 1)).alias(f"c{k}") for k in range(1, 5)]
+    rows = []
+    for order, table in level.items():  # one row for each language with a model
+        rows += [(order, r["lang"], *discounts([r[f"c{k}"] for k in range(1, 5)])) for r in table.groupBy("lang").agg(*met).collect()]
+    known = spark.createDataFrame(rows, "order int, lang string, d1 double, d2 double, d3 double")
+    found = None
     for order in range(1, ORDER + 1):
-        if order < ORDER:  # continuation counts: how many symbols stand before
-            longer = np.unique(keys & ((1 << (BITS * (order + 1))) - 1))
-            own, m = np.unique(longer & ((1 << (BITS * order)) - 1), return_counts=True)
+        same = Window.partitionBy("lang", "context")
+        own = level[order].join(F.broadcast(known.where(F.col("order") == order).drop("order")), "lang")
+        own = own.withColumn("context", F.shiftright("key", BITS))
+        own = own.withColumns({"total": F.sum("a").over(same) - left_out, "mass": F.sum(_discount(F.col("a"))).over(same)})
+        less = F.col("a") - left_out
+        mass = F.col("mass") - _discount(F.col("a")) + _discount(less)
+        if found is None:
+            own = own.withColumn("below", F.lit(1.0 / (1 << BITS)))
         else:
-            own, m = keys, n
-        p = _level(own, m, p, order)
-    return np.log(np.maximum(p, 1e-12))
+            own = own.withColumn("lower", F.col("key").bitwiseAND(_mask(order - 1)))
+            own = own.join(found.select("lang", F.col("key").alias("lower"), F.col("p").alias("below")), ["lang", "lower"])
+        p = F.greatest(less - _discount(less), F.lit(0.0)) / F.col("total") + mass / F.col("total") * F.col("below")
+        found = own.select("lang", "key", F.when(F.col("total") > 0, p).otherwise(F.col("below")).alias("p"))
+        if order < ORDER:
+            found = staged(found, f"p{order}")
+    return found
+
+
+def fit_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, key, cost): the negative log probability of every 5-gram of the corpus."""
+    counts = staged(gram_counts(docs, text_col, lang_col), "grams")
+    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_MODELS + 1)
+    own = [r["lang"] for r in top.collect()]
+    if len(own) > MAX_MODELS:
+        shared = F.when(F.col("lang").isin(own[: MAX_MODELS - 1]), F.col("lang")).otherwise(F.lit(OTHER))
+        counts = staged(counts.groupBy(shared.alias("lang"), "key").agg(F.sum("n").alias("n")), "pooled")
+    cost = -F.log(F.greatest(F.col("p"), F.lit(1e-6)))
+    return staged(kneser_ney(counts).select("lang", "key", cost.cast("float").alias("cost")), "model")
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One language: its sorted key array and the counts beside it."""
+def _sorted_arrays(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One language: its sorted key array and the costs beside it."""
     pdf = pdf.sort_values("key")
-    keys, n = pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-    return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "keys": [keys.astype(np.int32).tobytes()], "counts": [np.minimum(n, (1 << 32) - 1).astype(np.uint32).tobytes()]})
+    return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "keys": [pdf["key"].to_numpy("<i8").tobytes()], "costs": [pdf["cost"].to_numpy("<f4").tobytes()]})
 
 
-def fit_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[bytes, bytes]]:
-    """Sorted 4-gram keys and their counts by language: at most MAX_MODELS arrays of at most 2**20 entries."""
-    counts = staged(gram_counts(docs, text_col, lang_col), "grams")
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_MODELS - 1)
-    own = [r["lang"] for r in top.collect()]
-    pooled = counts.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(OTHER)))
-    pooled = pooled.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    rows = pooled.groupBy("lang").applyInPandas(_fit, "lang string, keys binary, counts binary").collect()
-    return {r["lang"]: (bytes(r["keys"]), bytes(r["counts"])) for r in rows}
+def packed(model: DataFrame) -> dict[str, tuple[bytes, bytes]]:
+    """Sorted keys and costs by language, of a model of at most BROADCAST_GRAMS entries."""
+    rows = model.groupBy("lang").applyInPandas(_sorted_arrays, "lang string, keys binary, costs binary").collect()
+    return {r["lang"]: (bytes(r["keys"]), bytes(r["costs"])) for r in rows}
 
 
 class Scorer:
-    """Lays each language's model out by key when it is first needed in a task."""
+    """Looks the grams of texts up in sorted arrays."""
 
     def __init__(self, models: dict[str, tuple[bytes, bytes]]):
-        self.models, self.tables = models, {}
+        self.tables = {k: (np.frombuffer(a, "<i8"), np.frombuffer(b, "<f4")) for k, (a, b) in models.items()}
 
-    def table(self, lang: str) -> np.ndarray:
-        lang = lang if lang in self.models else OTHER
-        if lang not in self.tables:
-            keys, n = self.models.get(lang, (b"", b""))
-            keys, n = np.frombuffer(keys, np.int32).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.int64)
-            self.tables[lang] = -kneser_ney(keys, n).astype(np.float32)
-        return self.tables[lang]
+    def costs(self, lang: str, key: np.ndarray) -> np.ndarray:
+        keys, costs = self.tables.get(lang, self.tables.get(OTHER, (np.zeros(0, np.int64), np.zeros(0, np.float32))))
+        if not len(keys):
+            return np.full(len(key), UNSEEN)
+        own, inverse = np.unique(key, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        return np.where(keys[at] == own, costs[at], UNSEEN)[inverse]
 
-    def __call__(self, buf: np.ndarray, off: np.ndarray, langs: list[str]) -> np.ndarray:
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
         """Mean negative log probability of each text's characters (0 for an empty text)."""
-        key = gram_keys(buf, off)
-        codes, names = pd.factorize(np.array(langs, object))
-        owner = np.repeat(codes, np.diff(off))
-        cost = np.zeros(len(buf), np.float64)
-        for k, lang in enumerate(names):
-            at = slice(None) if len(names) == 1 else owner == k
-            cost[at] = self.table(lang)[key[at]]
-        total = np.zeros(len(buf) + 1)
-        np.cumsum(cost, out=total[1:])
+        key, off, langs = _by_language(batch)
+        total = np.zeros(len(key) + 1)
+        for lang, own in langs:
+            total[1:][own] = self.costs(lang, key[own])
+        total = np.cumsum(total)
         return (total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off), 1)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def _scorer(shared) -> Scorer:
@@ -260,27 +301,60 @@ def _scorer(shared) -> Scorer:
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, cost double"
 
 
+NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+
+
 def _judge(batch: pa.RecordBatch, scorer: Scorer) -> dict[str, np.ndarray]:
-    buf, off = text_buffer(batch.column("text"))
-    return base_rules(buf, off) | {"cost": scorer(buf, off, batch.column("lang").fill_null("").to_pylist())}
+    return base_rules(*text_buffer(batch.column("text"))) | {"cost": scorer(batch)}
 
 
-def score_documents(docs: DataFrame, models: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rules' figures and the mean negative log probability of every document."""
+def _inputs(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+
+
+def _share(docs: DataFrame, **what):
     import uuid
 
-    shared = docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "models": models})
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    return docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, **what})
+
+
+def score_documents(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = BROADCAST_GRAMS) -> DataFrame:
+    """The rules' figures and the mean negative log probability of every document."""
+    if model.count() > limit:
+        return _score_by_join(docs, model, id_col, text_col, lang_col)
+    shared = _share(docs, models=packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
         for batch in batches:
             for b in pieces(batch, "text"):
-                found = _judge(b, scorer)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *[pa.array(found[c]) for c in names]], names=["id", "lang", *names])
+                found = _judge(b, _scorer(shared))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *[pa.array(found[c]) for c in NAMES]], names=["id", "lang", *NAMES])
+
+    return _inputs(docs, id_col, text_col, lang_col).mapInArrow(run, f"id long, lang string, {COLUMNS}").withColumnRenamed("id", id_col)
+
+
+def _score_by_join(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """The same for a model of any size: each document's distinct grams meet the model in a join."""
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id long, lang string, {COLUMNS}").withColumnRenamed("id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                found = base_rules(*text_buffer(b.column("text"))) | {"cost": np.zeros(b.num_rows)}
+                key, off, _ = _by_language(b)
+                parts = [np.unique(key[x:y], return_counts=True) for x, y in zip(off[:-1], off[1:], strict=True)]
+                bounds = pa.array(np.cumsum([0, *[len(k) for k, _ in parts]]), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([p[k] for p in parts]), pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *[pa.array(found[c]) for c in NAMES], *lists], names=["id", "lang", *NAMES, "keys", "counts"])
+
+    rows = _inputs(docs, id_col, text_col, lang_col).mapInArrow(run, f"id long, lang string, {COLUMNS}, keys array<long>, counts array<long>")
+    rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()), "grams_of")
+    known = [r["lang"] for r in model.select("lang").distinct().limit(MAX_MODELS + 1).collect()]
+    named = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(OTHER)).alias("lang")
+    grams = rows.select("__row", named, F.inline(F.arrays_zip("keys", "counts"))).withColumnRenamed("keys", "key")
+    cost = F.sum(F.col("counts") * F.coalesce("cost", F.lit(UNSEEN))) / F.sum("counts")
+    costs = grams.join(model, ["lang", "key"], "left").groupBy("__row").agg(cost.alias("mean"))
+    out = rows.join(costs, "__row", "left").withColumn("cost", F.coalesce("mean", F.lit(0.0)))
+    return out.select(F.col("id").alias(id_col), "lang", *NAMES)
 
 
 def bands(scores: DataFrame, width: float, floor: float = 0.01) -> DataFrame:
@@ -291,34 +365,40 @@ def bands(scores: DataFrame, width: float, floor: float = 0.01) -> DataFrame:
     return rows.select("lang", (F.col("q")[1] - width * sigma).alias("low"), (F.col("q")[1] + width * sigma).alias("high"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
     """Every document with the rules' figures, its perplexity, its band and the verdict `kept`."""
-    scores = staged(score_documents(docs, fit_models(docs, text_col, lang_col), id_col, text_col, lang_col), "quality")
-    limits = bands(scores, width)
-    rows = scores.join(limits, "lang", "left")
+    scores = staged(score_documents(docs, fit_model(docs, text_col, lang_col), id_col, text_col, lang_col, limit), "quality")
+    rows = scores.join(bands(scores, width), "lang", "left")
     slack = SLACK / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
     inside = F.col("cost").between(F.col("low") - slack, F.col("high") + slack)
     return rows.withColumn("perplexity", F.exp("cost")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0) -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns; their texts are never shuffled.
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
+    """The documents that quality_rules keeps, with all their columns.
 
-    The bands come from a first pass; the second judges each row again and drops it in place.
+    With a broadcast model texts are never shuffled: the bands come from a first pass, and the second judges each row
+    again and drops it in place. A larger model's verdicts are joined to numbered rows.
     """
-    import uuid
-
-    models = fit_models(docs, text_col, lang_col)
-    scores = staged(score_documents(docs, models, id_col, text_col, lang_col).select("lang", "base_failed", "cost"), "quality")
-    limits = {r["lang"]: (r["low"], r["high"]) for r in bands(scores, width).limit(1 << 16).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "models": models, "bands": limits})
+    model = fit_model(docs, text_col, lang_col)
+    languages = model.select("lang").distinct().count()
+    if model.count() > limit or languages >= MAX_MODELS:
+        rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        scores = staged(score_documents(rows, model, "__row", text_col, lang_col, limit), "quality")
+        judged = scores.join(bands(scores, width), "lang", "left")
+        slack = SLACK / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
+        inside = F.coalesce(F.col("cost").between(F.col("low") - slack, F.col("high") + slack), F.lit(True))
+        return rows.join(judged.where(~F.col("base_failed") & inside).select("__row"), "__row", "left_semi").drop("__row")
+    scores = staged(score_documents(docs, model, id_col, text_col, lang_col, limit).select("lang", "base_failed", "cost"), "quality")
+    limits = {r["lang"]: (r["low"], r["high"]) for r in bands(scores, width).collect()}  # fewer than MAX_MODELS rows
+    shared = _share(docs, models=packed(model), bands=limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, limits = _scorer(shared), shared.value["bands"]
+        limits = shared.value["bands"]
         for batch in batches:
             for b in pieces(batch, text_col):
                 langs = b.column(lang_col).cast(pa.string()).fill_null("")
-                found = _judge(pa.RecordBatch.from_arrays([b.column(text_col), langs], names=["text", "lang"]), scorer)
+                found = _judge(pa.RecordBatch.from_arrays([b.column(text_col), langs], names=["text", "lang"]), _scorer(shared))
                 low, high = np.array([limits.get(x, (-np.inf, np.inf)) for x in langs.to_pylist()]).reshape(-1, 2).T
                 slack = SLACK / np.sqrt(np.maximum(found["word_chars"], 1))
                 yield b.filter(pa.array(~found["base_failed"] & (found["cost"] >= low - slack) & (found["cost"] <= high + slack)))
