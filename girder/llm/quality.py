@@ -365,16 +365,24 @@ def bands(scores: DataFrame, width: float, floor: float = 0.01) -> DataFrame:
     return rows.select("lang", (F.col("q")[1] - width * sigma).alias("low"), (F.col("q")[1] + width * sigma).alias("high"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
+def _with_bands(scores: DataFrame, width: float) -> DataFrame:
+    """Adds each row's band; up to MAX_MODELS bands are broadcast, so that a hot language is not one join key's work."""
+    found = staged(bands(scores, width), "bands")
+    if found.count() <= MAX_MODELS:
+        found = F.broadcast(found)
+    return scores.join(found, "lang", "left")
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 16.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
     """Every document with the rules' figures, its perplexity, its band and the verdict `kept`."""
     scores = staged(score_documents(docs, fit_model(docs, text_col, lang_col), id_col, text_col, lang_col, limit), "quality")
-    rows = scores.join(bands(scores, width), "lang", "left")
+    rows = _with_bands(scores, width)
     slack = SLACK / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
     inside = F.col("cost").between(F.col("low") - slack, F.col("high") + slack)
     return rows.withColumn("perplexity", F.exp("cost")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 16.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns.
 
     With a broadcast model texts are never shuffled: the bands come from a first pass, and the second judges each row
@@ -385,7 +393,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if model.count() > limit or languages >= MAX_MODELS:
         rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
         scores = staged(score_documents(rows, model, "__row", text_col, lang_col, limit), "quality")
-        judged = scores.join(bands(scores, width), "lang", "left")
+        judged = _with_bands(scores, width)
         slack = SLACK / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
         inside = F.coalesce(F.col("cost").between(F.col("low") - slack, F.col("high") + slack), F.lit(True))
         return rows.join(judged.where(~F.col("base_failed") & inside).select("__row"), "__row", "left_semi").drop("__row")
