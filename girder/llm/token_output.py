@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,33 +52,42 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(rest)}
 
 
+class Known(dict):
+    """The ids of pre-tokens as bytes. The library is asked for each missing one; long ones are not kept."""
+
+    def __init__(self, model, limit: int, longest: int):
+        super().__init__()
+        self.model, self.limit, self.longest = model, limit, longest
+        self.letters = _byte_letters()
+        self.space = chr(self.letters[32])
+
+    def __missing__(self, token: str) -> bytes:
+        if token.isascii() and token.isprintable():
+            shown = token.replace(" ", self.space)
+        else:
+            shown = token.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(token) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[token] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE file, asking the library for each distinct pre-token once."""
 
-    def __init__(self, path: str, cache: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, cache: int = 500_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.cache, self.longest = cache, longest
-        self.known: dict[str, list[int]] = {}
-
-    def _ids(self, token: str) -> list[int]:
-        ids = [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))]
-        if len(token) <= self.longest:
-            if len(self.known) >= self.cache:
-                self.known.clear()
-            self.known[token] = ids
-        return ids
+        self.known = Known(self.tokenizer.model, cache, longest)
 
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        known, ids = self.known.get, []
-        for token in _CUT.findall(text):
-            ids += known(token) or self._ids(token)
-        return np.array(ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, _CUT.findall(text))), np.uint32)
 
 
 def encoder(path: str) -> Encoder:
