@@ -10,9 +10,11 @@ The finished model is a table of keys and costs. While it has at most BROADCAST_
 it is broadcast as sorted key arrays, one for each language, that a task searches; a larger one is joined with the grams of the
 documents, with the same result. MAX_MODELS bounds the languages with a model of their own (the others share one).
 
-A document is rejected where its mean negative log probability leaves its language's band: the median plus or
-minus `width` robust standard deviations (from quartiles over all documents of the language), plus SLACK over the
-square root of its length, since the mean of a short text varies more.
+A document is rejected where its mean negative log probability leaves its language's band. A mean over n characters varies
+by about c / sqrt(n), so the deviation is (mean - median) * sqrt(n) / c with the median and c (from quartiles) over all documents
+of the language that pass the base rules. At most LOW below and HIGH above are kept: the least whole numbers beyond
+which no document labelled good lay at sf0.1. A document above its band is scored again by stretches of STRETCH characters,
+each under the language whose band fits it best, so that clean text of several languages stays.
 
 Defined cases: a null text has no words and fails the base rules; a null lang is a language of its own; empty tables
 give empty results; repeated rows are judged each on its own; columns besides id, text and lang are ignored.
@@ -36,8 +38,10 @@ OTHER = "\x00other"
 BROADCAST_GRAMS = 6_000_000
 #: Grams that a counting task holds before it sends.
 HELD = 2_000_000
-#: The cost of a gram that the model has not seen, and about three standard deviations of a character's cost.
-UNSEEN, SLACK = 14.0, 6.0
+#: The cost of a gram that the model has not seen.
+UNSEEN = 14.0
+#: Deviations kept on each side, the least c, and the characters of a stretch.
+LOW, HIGH, LEAST_UNIT, STRETCH = 5.0, 7.0, 0.5, 64
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
 _SYMBOL = np.zeros(256, bool)
@@ -309,7 +313,8 @@ def _judge(batch: pa.RecordBatch, scorer: Scorer) -> dict[str, np.ndarray]:
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _share(docs: DataFrame, **what):
@@ -318,22 +323,33 @@ def _share(docs: DataFrame, **what):
     return docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, **what})
 
 
-def score_documents(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = BROADCAST_GRAMS) -> DataFrame:
-    """The rules' figures and the mean negative log probability of every document."""
-    if model.count() > limit:
-        return _score_by_join(docs, model, id_col, text_col, lang_col)
-    shared = _share(docs, models=packed(model))
+def _shared_model(docs: DataFrame, model: DataFrame, limit: int):
+    """The broadcast model, or None where it is too large."""
+    return _share(docs, models=packed(model)) if model.count() <= limit else None
+
+
+def score_documents(rows: DataFrame, model: DataFrame, shared) -> DataFrame:
+    """The rules' figures and the mean negative log probability of every row of _inputs."""
+    if shared is None:
+        return _score_by_join(rows, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, "text"):
                 found = _judge(b, _scorer(shared))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *[pa.array(found[c]) for c in NAMES]], names=["id", "lang", *NAMES])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("mark"), *[pa.array(found[c]) for c in NAMES]], names=["id", "lang", "mark", *NAMES])
+
+    return rows.mapInArrow(run, f"id long, lang string, mark long, {COLUMNS}")
 
-    return _inputs(docs, id_col, text_col, lang_col).mapInArrow(run, f"id long, lang string, {COLUMNS}").withColumnRenamed("id", id_col)
 
+def _gram_lists(parts: list[np.ndarray]) -> list[pa.Array]:
+    """Distinct keys and their counts, as one list for each part."""
+    parts = [np.unique(key, return_counts=True) for key in parts]
+    bounds = pa.array(np.cumsum([0, *[len(k) for k, _ in parts]]), pa.int32())
+    return [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]), pa.int64())) for k in (0, 1)]
 
-def _score_by_join(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+
+def _score_by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
     """The same for a model of any size: each document's distinct grams meet the model in a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +357,10 @@ def _score_by_join(docs: DataFrame, model: DataFrame, id_col: str, text_col: str
             for b in pieces(batch, "text"):
                 found = base_rules(*text_buffer(b.column("text"))) | {"cost": np.zeros(b.num_rows)}
                 key, off, _ = _by_language(b)
-                parts = [np.unique(key[x:y], return_counts=True) for x, y in zip(off[:-1], off[1:], strict=True)]
-                bounds = pa.array(np.cumsum([0, *[len(k) for k, _ in parts]]), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([p[k] for p in parts]), pa.int64())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *[pa.array(found[c]) for c in NAMES], *lists], names=["id", "lang", *NAMES, "keys", "counts"])
+                lists = _gram_lists([key[x:y] for x, y in zip(off[:-1], off[1:], strict=True)])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("mark"), *[pa.array(found[c]) for c in NAMES], *lists], names=["id", "lang", "mark", *NAMES, "keys", "counts"])
 
-    rows = _inputs(docs, id_col, text_col, lang_col).mapInArrow(run, f"id long, lang string, {COLUMNS}, keys array<long>, counts array<long>")
+    rows = rows.mapInArrow(run, f"id long, lang string, mark long, {COLUMNS}, keys array<long>, counts array<long>")
     rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()), "grams_of")
     known = [r["lang"] for r in model.select("lang").distinct().limit(MAX_MODELS + 1).collect()]
     named = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(OTHER)).alias("lang")
@@ -354,35 +368,94 @@ def _score_by_join(docs: DataFrame, model: DataFrame, id_col: str, text_col: str
     cost = F.sum(F.col("counts") * F.coalesce("cost", F.lit(UNSEEN))) / F.sum("counts")
     costs = grams.join(model, ["lang", "key"], "left").groupBy("__row").agg(cost.alias("mean"))
     out = rows.join(costs, "__row", "left").withColumn("cost", F.coalesce("mean", F.lit(0.0)))
-    return out.select(F.col("id").alias(id_col), "lang", *NAMES)
+    return out.select("id", "lang", "mark", *NAMES)
+
+
+def _few(found: DataFrame) -> DataFrame:
+    """Up to MAX_MODELS bands are broadcast, so that a hot language is not one join key's work."""
+    return F.broadcast(found) if found.count() <= MAX_MODELS else found
 
 
-def bands(scores: DataFrame, width: float, floor: float = 0.01) -> DataFrame:
-    """(lang, low, high) of the cost, from approximate quartiles over all documents that pass the base rules."""
-    q = F.percentile_approx("cost", [0.25, 0.5, 0.75], 10_000)
-    rows = scores.where("not base_failed").groupBy("lang").agg(q.alias("q"))
-    sigma = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(floor))
-    return rows.select("lang", (F.col("q")[1] - width * sigma).alias("low"), (F.col("q")[1] + width * sigma).alias("high"))
+def bands(scores: DataFrame) -> DataFrame:
+    """(lang, mid, unit): the median cost and c, from approximate quartiles over all documents that pass the base rules."""
+    rows = scores.where("not base_failed")
+    mids = staged(rows.groupBy("lang").agg(F.percentile_approx("cost", 0.5, 10_000).alias("mid")), "mids")
+    off = (F.col("cost") - F.col("mid")) * F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
+    q = F.percentile_approx(off, [0.25, 0.75], 10_000)
+    found = rows.join(_few(mids), "lang").groupBy("lang").agg(F.first("mid").alias("mid"), q.alias("q"))
+    return found.select("lang", "mid", F.greatest((F.col("q")[1] - F.col("q")[0]) / 1.349, F.lit(LEAST_UNIT)).alias("unit"))
 
 
-def _with_bands(scores: DataFrame, width: float) -> DataFrame:
-    """Adds each row's band; up to MAX_MODELS bands are broadcast, so that a hot language is not one join key's work."""
-    found = staged(bands(scores, width), "bands")
-    if found.count() <= MAX_MODELS:
-        found = F.broadcast(found)
-    return scores.join(found, "lang", "left")
+def stretch_excess(scorer: Scorer, limits: dict[str, tuple[float, float]], key: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Each text's mean excess over the median in units of c, where each stretch counts under the language that fits it best."""
+    starts = np.concatenate([np.zeros(0, np.int64), *[np.arange(x, y, STRETCH) for x, y in zip(off[:-1], off[1:], strict=True)]])
+    if not len(starts):
+        return np.zeros(len(off) - 1)
+    size, least = np.diff(np.append(starts, len(key))), np.full(len(starts), np.inf)
+    for lang, (mid, unit) in limits.items():
+        if lang in scorer.tables:
+            least = np.minimum(least, (np.add.reduceat(scorer.costs(lang, key), starts) - mid * size) / unit)
+    doc = np.searchsorted(off, starts, side="right") - 1
+    return np.bincount(doc, least, len(off) - 1) / np.maximum(np.diff(off), 1)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 16.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
-    """Every document with the rules' figures, its perplexity, its band and the verdict `kept`."""
-    scores = staged(score_documents(docs, fit_model(docs, text_col, lang_col), id_col, text_col, lang_col, limit), "quality")
-    rows = _with_bands(scores, width)
-    slack = SLACK / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
-    inside = F.col("cost").between(F.col("low") - slack, F.col("high") + slack)
-    return rows.withColumn("perplexity", F.exp("cost")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+def _excess(over: DataFrame, found: DataFrame, model: DataFrame, shared) -> DataFrame:
+    """(id, lang, mark, excess) of the rows of _inputs that left their band above."""
+    named = [r["lang"] for r in model.select("lang").distinct().collect()]  # at most MAX_MODELS
+    limits = {r["lang"]: (r["mid"], r["unit"]) for r in found.where(F.col("lang").isin(named)).collect()}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                got = stretch_excess(_scorer(shared), limits, *gram_keys(*text_buffer(b.column("text"))))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("mark"), pa.array(got)], names=["id", "lang", "mark", "excess"])
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 16.0, limit: int = BROADCAST_GRAMS) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                key, off = gram_keys(*text_buffer(b.column("text")))
+                parts = [[key[k : min(k + STRETCH, y)] for k in range(x, y, STRETCH)] for x, y in zip(off[:-1], off[1:], strict=True)]
+                rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(p)) for p in parts]])
+                lists = _gram_lists([x for p in parts for x in p])
+                head = [b.column(c).take(pa.array(rows)) for c in ("id", "lang", "mark")]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(at), *lists], names=["id", "lang", "mark", "stretch", "keys", "counts"])
+
+    if shared is not None:
+        return over.mapInArrow(run, "id long, lang string, mark long, excess double")
+    rows = over.mapInArrow(cut, "id long, lang string, mark long, stretch long, keys array<long>, counts array<long>")
+    grams = rows.select("id", "lang", "mark", "stretch", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"), F.inline(F.arrays_zip("keys", "counts"))).withColumnRenamed("keys", "key")
+    under = over.sparkSession.createDataFrame([(k, *v) for k, v in limits.items()], "under string, mid double, unit double")
+    costs = grams.crossJoin(F.broadcast(under)).join(model.select(F.col("lang").alias("under"), "key", "cost"), ["under", "key"], "left")
+    total = F.sum(F.col("counts") * F.coalesce("cost", F.lit(UNSEEN)))
+    each = costs.groupBy("id", "lang", "mark", "stretch", "size", "under").agg(((total - F.first("mid") * F.col("size")) / F.first("unit")).alias("x"))
+    best = each.groupBy("id", "lang", "mark", "stretch", "size").agg(F.min("x").alias("x"))
+    return best.groupBy("id", "lang", "mark").agg((F.sum("x") / F.sum("size")).alias("excess"))
+
+
+def _verdicts(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int) -> DataFrame:
+    """Every row's figures, deviation and verdict `kept`, by id."""
+    inputs, shared = _inputs(docs, id_col, text_col, lang_col), _shared_model(docs, model, limit)
+    scores = staged(score_documents(inputs, model, shared), "quality")
+    found = staged(bands(scores), "bands")
+    root = F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
+    rows = scores.join(_few(found), "lang", "left").withColumn("deviation", (F.col("cost") - F.col("mid")) * root / F.col("unit"))
+    over = staged(rows.where(~F.col("base_failed") & (F.col("deviation") > HIGH)).select("id", "lang", "mark").distinct(), "over")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "lang", "mark")]
+    again = inputs.alias("a").join(over.alias("b"), same, "left_semi").dropDuplicates(["id", "lang", "mark"])
+    again = staged(_excess(again, found, model, shared), "excess")
+    rows = rows.alias("a").join(again.alias("b"), same, "left").select("a.*", F.least("deviation", F.col("excess") * root).alias("above"))
+    inside = (F.col("deviation") >= -LOW) & (F.col("above") <= HIGH)
+    rows = rows.withColumn("perplexity", F.exp("cost")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    return rows.drop("mark").withColumnRenamed("id", id_col)
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = BROADCAST_GRAMS) -> DataFrame:
+    """Every document with the rules' figures, its perplexity, its deviation and the verdict `kept`."""
+    return _verdicts(docs, fit_model(docs, text_col, lang_col), id_col, text_col, lang_col, limit)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = BROADCAST_GRAMS) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns.
 
     With a broadcast model texts are never shuffled: the bands come from a first pass, and the second judges each row
@@ -392,23 +465,26 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     languages = model.select("lang").distinct().count()
     if model.count() > limit or languages >= MAX_MODELS:
         rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        scores = staged(score_documents(rows, model, "__row", text_col, lang_col, limit), "quality")
-        judged = _with_bands(scores, width)
-        slack = SLACK / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
-        inside = F.coalesce(F.col("cost").between(F.col("low") - slack, F.col("high") + slack), F.lit(True))
-        return rows.join(judged.where(~F.col("base_failed") & inside).select("__row"), "__row", "left_semi").drop("__row")
-    scores = staged(score_documents(docs, model, id_col, text_col, lang_col, limit).select("lang", "base_failed", "cost"), "quality")
-    limits = {r["lang"]: (r["low"], r["high"]) for r in bands(scores, width).collect()}  # fewer than MAX_MODELS rows
-    shared = _share(docs, models=packed(model), bands=limits)
+        judged = _verdicts(rows, model, "__row", text_col, lang_col, limit)
+        return rows.join(judged.where("kept").select("__row"), "__row", "left_semi").drop("__row")
+    shared = _shared_model(docs, model, limit)
+    scores = score_documents(_inputs(docs, id_col, text_col, lang_col), model, shared)
+    scores = staged(scores.select("lang", "base_failed", "word_chars", "cost"), "quality")
+    limits = {r["lang"]: (r["mid"], r["unit"]) for r in bands(scores).collect()}  # fewer than MAX_MODELS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = shared.value["bands"]
         for batch in batches:
             for b in pieces(batch, text_col):
                 langs = b.column(lang_col).cast(pa.string()).fill_null("")
                 found = _judge(pa.RecordBatch.from_arrays([b.column(text_col), langs], names=["text", "lang"]), _scorer(shared))
-                low, high = np.array([limits.get(x, (-np.inf, np.inf)) for x in langs.to_pylist()]).reshape(-1, 2).T
-                slack = SLACK / np.sqrt(np.maximum(found["word_chars"], 1))
-                yield b.filter(pa.array(~found["base_failed"] & (found["cost"] >= low - slack) & (found["cost"] <= high + slack)))
+                mid, unit = np.array([limits.get(x, (0.0, np.inf)) for x in langs.to_pylist()]).reshape(-1, 2).T
+                root = np.sqrt(np.maximum(found["word_chars"], 1))
+                deviation = (found["cost"] - mid) * root / unit
+                kept = ~found["base_failed"] & (deviation >= -LOW)
+                over = np.flatnonzero(kept & (deviation > HIGH))
+                if len(over):
+                    excess = stretch_excess(_scorer(shared), limits, *gram_keys(*text_buffer(b.column(text_col).take(pa.array(over)))))
+                    kept[over] = excess * root[over] <= HIGH
+                yield b.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

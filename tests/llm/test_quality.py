@@ -133,3 +133,27 @@ def test_large_models_are_joined_with_the_same_result(spark, corpus):
 def test_empty_table(spark):
     assert quality.quality_rules(table(spark, [])).collect() == []
     assert quality.keep_good(table(spark, [])).collect() == []
+
+
+def test_each_side_of_the_band_rejects_and_mixed_languages_stay(spark):
+    """Junk of low perplexity that repeats no window, junk above the band, and clean text of two languages."""
+    draw = np.random.default_rng(9)
+    other = "der und nicht wald haus baum fluss stein wolke regen sonne winter sommer abend morgen nacht licht".split()
+
+    def german(n):
+        return " ".join(other[k] + (str(draw.integers(0, 97)) if draw.integers(0, 3) == 0 else "") for k in draw.integers(0, len(other), n))
+
+    def few(n):  # four words in random order: cheap for the model, and hardly a window of eight comes twice
+        return " ".join(("upsilon", "omicron", "epsilon", "lambda")[k] for k in draw.integers(0, 4, n))
+
+    good = [(k, prose(k, 300), "en", "s") for k in range(300)] + [(1000 + k, german(300), "de", "s") for k in range(300)]
+    mixed = [(2000 + k, prose(5000 + k, 150) + "\n" + german(150), "en", "s") for k in range(5)]
+    low = [(3000 + k, few(300), "en", "s") for k in range(5)]
+    high = [(4000 + k, " ".join("".join(chr(x) for x in draw.integers(97, 123, 7)) for _ in range(300)), "en", "s") for k in range(5)]
+    docs = table(spark, good + mixed + low + high)
+    for limit in (quality.BROADCAST_GRAMS, 0):
+        got = {r["doc_id"]: r for r in quality.quality_rules(docs, limit=limit).collect()}
+        assert all(got[k]["kept"] for k, *_ in mixed) and sum(got[k]["kept"] for k, *_ in good) >= 595
+        assert not any(got[k]["base_failed"] or got[k]["kept"] for k, *_ in low + high)
+        assert all(got[k]["deviation"] < -quality.LOW for k, *_ in low) and all(got[k]["above"] > quality.HIGH for k, *_ in high)
+        assert sorted(r["doc_id"] for r in quality.keep_good(docs, limit=limit).select("doc_id").collect()) == sorted(k for k, r in got.items() if r["kept"])
