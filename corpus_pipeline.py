@@ -38,7 +38,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards are written and read back: where each document's ids are, and their checksum."""
     folder = fresh_path(spark, "tokens")
-    manifest = staged(token_output.write_tokens(docs, folder, tokenizer_file()), "manifest")
+    manifest = staged(token_output.write_tokens(docs, folder, tokenizer_file(), plain_special=False), "manifest")
     return token_output.read_tokens(spark, folder, manifest)
 
 

@@ -88,7 +88,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from girder.llm.token_output import read_tokens, write_tokens
 
     folder = fresh_path(spark, "tokens")
-    manifest = staged(write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_file()), "manifest")
+    manifest = staged(write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_file(), plain_special=False), "manifest")
     return read_tokens(spark, folder, manifest)
 
 

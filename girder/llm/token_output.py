@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 MAGIC = b"GTOK0001"
 SAMPLE = 256
 NO_ID = -(1 << 63)
-_tokenizers: dict[str, Encoder] = {}
+_tokenizers: dict[tuple[str, bool], Encoder] = {}
 
 
 #: Texts of these characters alone are cut here by the byte-level pre-tokenizer's rule; others go to the library whole.
@@ -75,25 +75,31 @@ class Known(dict):
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE file, asking the library for each distinct pre-token once."""
+    """Encodes texts with a byte-level BPE file, asking the library for each distinct pre-token once.
 
-    def __init__(self, path: str, cache: int = 500_000, longest: int = 48):
+    plain_special: special tokens in a text are encoded as ordinary characters. The library's own default is False.
+    """
+
+    def __init__(self, path: str, cache: int = 500_000, longest: int = 48, plain_special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_special and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.known = Known(self.tokenizer.model, cache, longest)
 
     def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or (self.added is not None and self.added.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.frombuffer(b"".join(map(self.known.__getitem__, _CUT.findall(text))), np.uint32)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
+def encoder(path: str, plain_special: bool = True) -> Encoder:
+    key = path, plain_special
+    if key not in _tokenizers:
+        _tokenizers[key] = Encoder(path, plain_special=plain_special)
+    return _tokenizers[key]
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -188,14 +194,14 @@ def _put(folder: str, name: str, blob: bytes) -> None:
     store.move(draft, f"{base}/{name}")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:
-    """Encode every text, write shards to `folder`, and return their manifest (file, shard, documents, ids)."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, plain_special: bool = True) -> DataFrame:
+    """Encode every text, write shards to `folder`, and return their manifest (file, shard, documents, ids). plain_special: see Encoder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, plain_special)
         wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         ids, tokens, size = [], [], 0
 

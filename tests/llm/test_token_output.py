@@ -58,3 +58,18 @@ def test_empty_table(spark):
     manifest = staged(to.write_tokens(table(spark, []), folder, PATH), "manifest")
     os.makedirs(folder.removeprefix("file://"), exist_ok=True)
     assert to.read_tokens(spark, folder, manifest).collect() == []
+
+
+def test_queries_encode_as_the_library_does_by_default(spark, tmp_path):
+    import corpus_pipeline
+    from girder.llm.queries import op7_token_output
+
+    plain = Tokenizer.from_file(PATH)
+    texts = [*ODD, "a b <|endoftext|> c", "<|endoftext|><|endoftext|>", "é <|endoftext|>", "<|ENDOFTEXT|>"]
+    docs = table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (op7_token_output(spark, str(tmp_path)), corpus_pipeline.token_ids(spark, docs, str(tmp_path))):
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in rows.collect()}
+        for k, t in enumerate(texts):
+            want = [*plain.encode(t, add_special_tokens=False).ids, 0]
+            assert got[k] == (len(want), zlib.crc32(np.array(want, "<u4").tobytes())), t
