@@ -239,8 +239,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the least id of each component, with all its columns. Rows without an id stay; of equal ids one row stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    return known.union(docs.where(F.col(id_col).isNull()))
+    """The document of the least id of each component, with all its columns. Rows without an id stay; of equal ids one row stays.
+
+    Where ids repeat, rows are numbered. An id's row is the first in the component whose least id it is, or else its first row;
+    then each component keeps the row of its least id among these.
+    """
+    found = staged(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__top")), "components")
+    known = found.where(F.col("__id").isNotNull())
+    if known.groupBy("__id").count().where("count > 1").isEmpty():
+        keep = known.where(F.col("__id") == F.col("__top")).select("__id")
+        return docs.join(keep, F.col(id_col) == F.col("__id"), "left_semi").union(docs.where(F.col(id_col).isNull()))
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    tops = near_duplicates(rows, "__row", text_col).select("__row", F.col("component_id").alias("__component"))
+    named = rows.select("__row", F.col(id_col).cast("long").alias("__id")).where("__id is not null").join(tops, "__row")
+    named = staged(named, "rows_of_ids")
+    least = named.groupBy("__component").agg(F.min("__id").alias("__top"))
+    first = F.min(F.struct((F.col("__id") != F.col("__top")).alias("other"), "__row", "__component")).alias("x")
+    own = named.join(least, "__component").groupBy("__id").agg(first).select("__id", "x.__row", "x.__component")
+    keep = own.groupBy("__component").agg(F.min(F.struct("__id", "__row")).alias("x")).select("x.__row")
+    kept = rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    return kept.union(rows.where(F.col(id_col).isNull()).select(*docs.columns))

@@ -96,3 +96,16 @@ def test_keep_first_and_empty(spark):
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert ids.count(None) == 2 and 24 not in ids and 25 not in ids and 3 in ids and 20 in ids and 21 not in ids
     assert simhash.near_duplicates(table(spark, [])).collect() == []
+
+
+def test_keep_first_keeps_one_row_of_a_repeated_id(spark):
+    from tests.llm.helpers import prose
+
+    a, b, c, d, e = (prose(70 + k, 120) for k in range(5))
+    rows = [(3, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (5, b, "en", "s"), (7, c, "en", "s"), (7, c, "en", "s"), (8, c, "en", "s")]
+    rows += [(9, d, "en", "s"), (9, e, "en", "s"), (10, e, "en", "s"), (None, d, "en", "s"), (None, d, "en", "s")]
+    docs = table(spark, rows).coalesce(1)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (7, c), (9, d), (10, e), (None, d), (None, d)], key=str)
