@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from girder.llm.common import IS_SPACE, mix, per_text, pieces, range_hash, runs, staged, text_buffer
 
@@ -36,8 +37,8 @@ ORDER, BITS = 5, 12
 MAX_MODELS = 128
 OTHER = "\x00other"
 BROADCAST_GRAMS = 6_000_000
-#: Grams that a counting task holds before it sends.
-HELD = 2_000_000
+#: Grams that a counting task holds before it sends, and bytes of text that are worked on at a time.
+HELD, PIECE = 400_000, 256 << 10
 #: The cost of a gram that the model has not seen.
 UNSEEN = 14.0
 #: Deviations kept on each side, the least c, and the characters of a stretch.
@@ -166,7 +167,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for b in pieces(batch, "text"):
+        for b in pieces(batch, "text", PIECE):
             key, _, langs = _by_language(b)
             for lang, own in langs:
                 if len(key[own]):
@@ -335,7 +336,7 @@ def score_documents(rows: DataFrame, model: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", PIECE):
                 found = _judge(b, _scorer(shared))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("mark"), *[pa.array(found[c]) for c in NAMES]], names=["id", "lang", "mark", *NAMES])
 
@@ -354,7 +355,7 @@ def _score_by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", PIECE):
                 found = base_rules(*text_buffer(b.column("text"))) | {"cost": np.zeros(b.num_rows)}
                 key, off, _ = _by_language(b)
                 lists = _gram_lists([key[x:y] for x, y in zip(off[:-1], off[1:], strict=True)])
@@ -406,13 +407,13 @@ def _excess(over: DataFrame, found: DataFrame, model: DataFrame, shared) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", PIECE):
                 got = stretch_excess(_scorer(shared), limits, *gram_keys(*text_buffer(b.column("text"))))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("mark"), pa.array(got)], names=["id", "lang", "mark", "excess"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", PIECE):
                 key, off = gram_keys(*text_buffer(b.column("text")))
                 parts = [[key[k : min(k + STRETCH, y)] for k in range(x, y, STRETCH)] for x, y in zip(off[:-1], off[1:], strict=True)]
                 rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -458,8 +459,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = BROADCAST_GRAMS) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns.
 
-    With a broadcast model texts are never shuffled: the bands come from a first pass, and the second judges each row
-    again and drops it in place. A larger model's verdicts are joined to numbered rows.
+    With a broadcast model each text is judged once: rows are written with their language, rule and cost, the bands come from
+    these columns, and rows inside their band are read back by a filter. Only rows above it are scored again, by stretches. A
+    larger model's verdicts are joined to numbered rows. Texts are never shuffled.
     """
     model = fit_model(docs, text_col, lang_col)
     languages = model.select("lang").distinct().count()
@@ -468,23 +470,35 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         judged = _verdicts(rows, model, "__row", text_col, lang_col, limit)
         return rows.join(judged.where("kept").select("__row"), "__row", "left_semi").drop("__row")
     shared = _shared_model(docs, model, limit)
-    scores = score_documents(_inputs(docs, id_col, text_col, lang_col), model, shared)
-    scores = staged(scores.select("lang", "base_failed", "word_chars", "cost"), "quality")
-    limits = {r["lang"]: (r["mid"], r["unit"]) for r in bands(scores).collect()}  # fewer than MAX_MODELS rows
+    judged = _judged_rows(docs, shared, text_col, lang_col)
+    found = bands(judged.select(F.col("__lang").alias("lang"), F.col("__failed").alias("base_failed"), F.col("__chars").alias("word_chars"), F.col("__cost").alias("cost")))
+    limits = {r["lang"]: (r["mid"], r["unit"]) for r in found.collect()}  # fewer than MAX_MODELS rows
+    lines = docs.sparkSession.createDataFrame([(k, *v) for k, v in limits.items()], "__lang string, __mid double, __unit double")
+    root = F.sqrt(F.greatest(F.col("__chars"), F.lit(1)))
+    rows = judged.where(~F.col("__failed")).join(F.broadcast(lines), "__lang", "left").withColumn("__deviation", (F.col("__cost") - F.col("__mid")) * root / F.col("__unit"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    inside = rows.where(F.coalesce(F.col("__deviation").between(-LOW, HIGH), F.lit(True))).select(*own)
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, text_col, PIECE):
+                excess = stretch_excess(_scorer(shared), limits, *gram_keys(*text_buffer(b.column(text_col))))
+                chars = base_rules(*text_buffer(b.column(text_col)))["word_chars"]
+                yield b.filter(pa.array(excess * np.sqrt(np.maximum(chars, 1)) <= HIGH))
+
+    return inside.union(rows.where(F.col("__deviation") > HIGH).select(*own).mapInArrow(fits, docs.schema))
+
+
+def _judged_rows(docs: DataFrame, shared, text_col: str, lang_col: str) -> DataFrame:
+    """docs with __lang, __failed, __chars and __cost, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch, text_col):
+            for b in pieces(batch, text_col, PIECE):
                 langs = b.column(lang_col).cast(pa.string()).fill_null("")
                 found = _judge(pa.RecordBatch.from_arrays([b.column(text_col), langs], names=["text", "lang"]), _scorer(shared))
-                mid, unit = np.array([limits.get(x, (0.0, np.inf)) for x in langs.to_pylist()]).reshape(-1, 2).T
-                root = np.sqrt(np.maximum(found["word_chars"], 1))
-                deviation = (found["cost"] - mid) * root / unit
-                kept = ~found["base_failed"] & (deviation >= -LOW)
-                over = np.flatnonzero(kept & (deviation > HIGH))
-                if len(over):
-                    excess = stretch_excess(_scorer(shared), limits, *gram_keys(*text_buffer(b.column(text_col).take(pa.array(over)))))
-                    kept[over] = excess * root[over] <= HIGH
-                yield b.filter(pa.array(kept))
-
-    return docs.mapInArrow(run, docs.schema)
+                more = [langs, *[pa.array(found[c]) for c in ("base_failed", "word_chars", "cost")]]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "__lang", "__failed", "__chars", "__cost"])
+
+    added = StructType([StructField("__lang", StringType()), StructField("__failed", BooleanType()), StructField("__chars", LongType()), StructField("__cost", DoubleType())])
+    return staged(docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields])), "judged")
