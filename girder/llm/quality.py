@@ -1,20 +1,22 @@
 """Quality rules: fixed text rules, then bands on the perplexity of a modified Kneser-Ney model.
 
 The model is a character 5-gram model for each language. A character is the low 12 bits of its code point (exact below
-U+1000), so a 5-gram is one 60-bit key and a text's start is padded with zeros. Counts come from every document: they
-are summed in each task, then by Spark, and the model's size follows the corpus. Its interpolated probabilities are joins
-and windows over the tables of distinct grams, one order after the other. Each gram is scored as if it had been
-counted once less (leave one out), so that a text does not vouch for its own characters.
+U+1000), so a 5-gram is one 60-bit key and a text's start is padded with zeros. Grams are counted in every document: in
+all, and in plain texts, those with at most MARKED symbols a word. Counts are summed in each task, then by Spark, and the
+model's size follows the corpus. The probabilities come from the plain counts, so texts full of marks do not teach the model to expect
+marks; they are joins and windows over the tables of distinct grams, one order after the other. Each gram is scored as if
+it had been counted once less (leave one out), so that a text does not vouch for its own characters.
 
 The finished model is a table of keys and costs. While it has at most BROADCAST_GRAMS entries (a count of it is taken first)
 it is broadcast as sorted key arrays, one for each language, that a task searches; a larger one is joined with the grams of the
 documents, with the same result. MAX_MODELS bounds the languages with a model of their own (the others share one).
 
 A document is rejected where its mean negative log probability leaves its language's band. A mean over n characters varies
-by about c / sqrt(n), so the deviation is (mean - median) * sqrt(n) / c with the median and c (from quartiles) over all documents
-of the language that pass the base rules. At most LOW below and HIGH above are kept: the least whole numbers beyond
-which no document labelled good lay at sf0.1. A document above its band is scored again by stretches of STRETCH characters,
-each under the language whose band fits it best, so that clean text of several languages stays.
+by about c / sqrt(n), so the deviation is (mean - median) * sqrt(n) / c with the median and c (from the lower quartile) over all
+distinct texts of the language that pass the base rules. At most LOW below and HIGH above are kept. Labelled good documents of sf0.1 lie between -5.3
+and 7.5; HIGH rounds this up, LOW leaves twice as much, since copies vouch for each other and a large group of them lies low. A document above its
+band is scored again by stretches of STRETCH characters, each under the language whose band fits it best, so that clean text of
+several languages stays.
 
 Defined cases: a null text has no words and fails the base rules; a null lang is a language of its own; empty tables
 give empty results; repeated rows are judged each on its own; columns besides id, text and lang are ignored.
@@ -42,8 +44,10 @@ HELD, PIECE = 400_000, 256 << 10
 #: The cost of a gram that the model has not seen.
 UNSEEN = 14.0
 #: Deviations kept on each side, the least c, and the characters of a stretch.
-LOW, HIGH, LEAST_UNIT, STRETCH = 5.0, 7.0, 0.5, 64
+LOW, HIGH, LEAST_UNIT, STRETCH = 10.0, 8.0, 0.5, 64
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
+#: Symbols a word up to which a text is plain (the usual symbol-to-word rule of web corpora).
+MARKED = 0.1
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -134,15 +138,30 @@ def gram_keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key, off
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(key: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, their counts, and their counts in plain texts."""
+    order = np.argsort(key)
+    key, plain = key[order], plain[order]
+    head = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[head], np.diff(np.append(head, len(key))), np.add.reduceat(plain.astype(np.int64), head)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys and their summed counts."""
     if len(parts) == 1:
         return parts[0]
-    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key)
-    key, n = key[order], n[order]
+    key, n, m = key[order], n[order], m[order]
     head = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[head], np.add.reduceat(n, head)
+    return key[head], np.add.reduceat(n, head), np.add.reduceat(m, head)
+
+
+def plain_texts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether a text has at most MARKED symbols a word."""
+    starts, _ = runs(~IS_SPACE[buf], off)
+    words = np.bincount(np.searchsorted(off, starts, side="right") - 1, minlength=len(off) - 1)
+    return per_text(_SYMBOL[buf], off) <= MARKED * words
 
 
 def _by_language(batch: pa.RecordBatch):
@@ -155,23 +174,24 @@ def _by_language(batch: pa.RecordBatch):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each task's gram counts by language, as sorted arrays."""
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     size = 0
 
     def flush():
         for lang, parts in held.items():
-            key, n = _summed(parts)
-            for k in range(0, len(key), 1 << 16):
-                own = key[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(own), pa.array(n[k : k + (1 << 16)])], names=["lang", "key", "n"])
+            found = _summed(parts)
+            for k in range(0, len(found[0]), 1 << 16):
+                own = [pa.array(x[k : k + (1 << 16)]) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(own[0])), *own], names=["lang", "key", "n", "plain"])
         held.clear()
 
     for batch in batches:
         for b in pieces(batch, "text", PIECE):
-            key, _, langs = _by_language(b)
+            key, off, langs = _by_language(b)
+            plain = np.repeat(plain_texts(*text_buffer(b.column("text"))), np.diff(off))
             for lang, own in langs:
                 if len(key[own]):
-                    held.setdefault(lang, []).append(np.unique(key[own], return_counts=True))
+                    held.setdefault(lang, []).append(_distinct(key[own], plain[own]))
                     size += len(held[lang][-1][0])
             if size > HELD:
                 for lang in held:
@@ -184,9 +204,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, key, n): counts over all documents."""
+    """(lang, key, n, plain): counts over all documents, and over those of them that are plain."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return rows.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_count, "lang string, key long, n long, plain long").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
 
 
 # ---------------------------------------------------------------- modified Kneser-Ney
@@ -251,9 +271,10 @@ def fit_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     own = [r["lang"] for r in top.collect()]
     if len(own) > MAX_MODELS:
         shared = F.when(F.col("lang").isin(own[: MAX_MODELS - 1]), F.col("lang")).otherwise(F.lit(OTHER))
-        counts = staged(counts.groupBy(shared.alias("lang"), "key").agg(F.sum("n").alias("n")), "pooled")
+        counts = staged(counts.groupBy(shared.alias("lang"), "key").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain")), "pooled")
+    trusted = counts.where("plain > 0").select("lang", "key", F.col("plain").alias("n"))
     cost = -F.log(F.greatest(F.col("p"), F.lit(1e-6)))
-    return staged(kneser_ney(counts).select("lang", "key", cost.cast("float").alias("cost")), "model")
+    return staged(kneser_ney(trusted).select("lang", "key", cost.cast("float").alias("cost")), "model")
 
 
 def _sorted_arrays(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -378,13 +399,16 @@ def _few(found: DataFrame) -> DataFrame:
 
 
 def bands(scores: DataFrame) -> DataFrame:
-    """(lang, mid, unit): the median cost and c, from approximate quartiles over all documents that pass the base rules."""
-    rows = scores.where("not base_failed")
+    """(lang, mid, unit): the median cost and c, from approximate quartiles over all documents that pass the base rules.
+
+    Equal texts have equal figures and count once. Junk lies above the median, so c is read from the lower half.
+    """
+    rows = scores.where("not base_failed").select("lang", "word_chars", F.round("cost", 6).alias("cost")).distinct()
+    rows = staged(rows, "costs")
     mids = staged(rows.groupBy("lang").agg(F.percentile_approx("cost", 0.5, 10_000).alias("mid")), "mids")
-    off = (F.col("cost") - F.col("mid")) * F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
-    q = F.percentile_approx(off, [0.25, 0.75], 10_000)
-    found = rows.join(_few(mids), "lang").groupBy("lang").agg(F.first("mid").alias("mid"), q.alias("q"))
-    return found.select("lang", "mid", F.greatest((F.col("q")[1] - F.col("q")[0]) / 1.349, F.lit(LEAST_UNIT)).alias("unit"))
+    off = (F.col("mid") - F.col("cost")) * F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
+    found = rows.join(_few(mids), "lang").groupBy("lang").agg(F.first("mid").alias("mid"), F.percentile_approx(off, 0.75, 10_000).alias("q"))
+    return found.select("lang", "mid", F.greatest(F.col("q") / 0.6745, F.lit(LEAST_UNIT)).alias("unit"))
 
 
 def stretch_excess(scorer: Scorer, limits: dict[str, tuple[float, float]], key: np.ndarray, off: np.ndarray) -> np.ndarray:

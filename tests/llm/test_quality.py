@@ -91,11 +91,17 @@ def test_model_matches_brute_force(spark, left_out):
 
 def test_counts_come_from_every_document(spark, monkeypatch):
     rows = awkward()
-    want = Counter((lang or "", k) for _, t, lang, _ in rows for k in keys_of(t or ""))
+    rows = [*rows, (60, "a # b | c $ d", "en", "s"), (61, "tags #one here and then many words more than ten of them", "en", "s")]
+    want, plain = Counter(), Counter()
+    for _, t, lang, _ in rows:
+        own = Counter((lang or "", k) for k in keys_of(t or ""))
+        want += own
+        n_words, _, n_symbols, _, _ = brute(t)
+        plain += own if n_symbols <= quality.MARKED * n_words else Counter()
     for held in (quality.HELD, 50):  # tasks that send many times, too
         monkeypatch.setattr(quality, "HELD", held)
-        got = {(r["lang"], r["key"]): r["n"] for r in quality.gram_counts(table(spark, rows).repartition(3)).collect()}
-        assert got == want
+        got = {(r["lang"], r["key"]): (r["n"], r["plain"]) for r in quality.gram_counts(table(spark, rows).repartition(3)).collect()}
+        assert got == {k: (n, plain[k]) for k, n in want.items()}
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +163,60 @@ def test_each_side_of_the_band_rejects_and_mixed_languages_stay(spark):
         assert not any(got[k]["base_failed"] or got[k]["kept"] for k, *_ in low + high)
         assert all(got[k]["deviation"] < -quality.LOW for k, *_ in low) and all(got[k]["above"] > quality.HIGH for k, *_ in high)
         assert sorted(r["doc_id"] for r in quality.keep_good(docs, limit=limit).select("doc_id").collect()) == sorted(k for k, r in got.items() if r["kept"])
+
+
+def test_texts_full_of_marks_are_rejected_although_they_are_many(spark):
+    """A third of the corpus is table rows or marked words, made of the same words as the good texts."""
+    good = [(k, prose(k, 200), "en", "s") for k in range(200)]
+    rows = [(1000 + k, " | ".join(prose(9000 + k, 120).split()), "en", "s") for k in range(50)]
+    marked = [(2000 + k, " ".join(f"{w}{'#$%&*'[len(w) % 5] * 3}" for w in prose(8000 + k, 120).split()), "en", "s") for k in range(50)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(table(spark, good + rows + marked)).collect()}
+    assert all(got[k]["kept"] for k, *_ in good)
+    assert not any(got[k]["kept"] or got[k]["base_failed"] for k, *_ in rows + marked)
+
+
+def test_verdict_matches_brute_force(spark, corpus):
+    """Rules, model, bands and verdict of every row by dictionaries and sorted lists (exact quartiles, so a hair apart)."""
+    rows = [r for r in corpus if r[0] is not None]
+    counts: dict[str, Counter] = {}
+    for _, t, lang, _ in rows:
+        n_words, _, n_symbols, _, _ = brute(t)
+        if n_symbols <= quality.MARKED * n_words:
+            counts.setdefault(lang or "", Counter()).update(keys_of(t or ""))
+    models = {lang: brute_model([(lang, k, n) for k, n in c.items()], 1) for lang, c in counts.items()}
+    costs, base = {}, {}
+    for k, (_, t, lang, _) in enumerate(rows):
+        keys = keys_of(t or "")
+        own = models.get(lang or "", {})
+        costs[k] = sum(-np.log(max(own[g], 1e-6)) if g in own else quality.UNSEEN for g in keys) / max(len(keys), 1)
+        n, chars, _, _, rep = brute(t)
+        base[k] = (n < 20 or 100 * rep > 30 * n, chars)
+    bands = {}
+    for lang in {r[2] or "" for r in rows}:
+        own = list({(base[k][1], round(costs[k], 6)): k for k, r in enumerate(rows) if (r[2] or "") == lang and not base[k][0]}.values())
+        if own:
+            mid = float(np.quantile([costs[k] for k in own], 0.5, method="inverted_cdf"))
+            q = float(np.quantile([(mid - costs[k]) * np.sqrt(base[k][1]) for k in own], 0.75, method="inverted_cdf"))
+            bands[lang] = (mid, max(q / 0.6745, quality.LEAST_UNIT))
+    got = {}
+    for r in quality.quality_rules(table(spark, rows)).collect():
+        got.setdefault(r["doc_id"], r)
+    for k, (i, _, lang, _) in enumerate(rows):
+        assert abs(got[i]["cost"] - costs[k]) < 1e-4
+        failed, chars = base[k]
+        assert got[i]["base_failed"] == failed
+        if failed or lang is None or lang == "fr":
+            continue
+        mid, unit = bands[lang]
+        deviation = (costs[k] - mid) * np.sqrt(max(chars, 1)) / unit
+        assert abs(got[i]["deviation"] - deviation) < 0.01 * max(1, abs(deviation))
+        if deviation < -quality.LOW:
+            assert not got[i]["kept"]
+        elif deviation <= quality.HIGH:
+            assert got[i]["kept"]
+        else:  # by stretches, each under its cheapest language
+            keys, total = keys_of(rows[k][1]), 0.0
+            for x in range(0, len(keys), quality.STRETCH):
+                part = keys[x : x + quality.STRETCH]
+                total += min((sum(-np.log(max(models[m][g], 1e-6)) if g in models[m] else quality.UNSEEN for g in part) - bands[m][0] * len(part)) / bands[m][1] for m in bands)
+            assert got[i]["kept"] == (total / len(keys) * np.sqrt(chars) <= quality.HIGH)
