@@ -11,8 +11,10 @@ A group of near copies could fill a bucket, so pairs inside a bucket are not mad
 1. each looked-up fingerprint meets only the bucket's least fingerprint (a pre-aggregated star), which settles every
    bucket that files a single fingerprint;
 2. these links are contracted to components; a bucket all of whose fingerprints have one component is settled too;
-3. in the remaining buckets, fingerprints are compared exactly, but only across components.
-Equal fingerprints are one vertex from the start, so exact copies cost nothing.
+3. in the remaining buckets, fingerprints are compared exactly, but only across components: those outside the bucket's most
+   common component meet everything of other components there, so the members of one large group never meet each other.
+Equal fingerprints are one vertex from the start, so exact copies cost nothing until components are handed back to documents;
+there the fingerprints of more than a thousandth of all rows (so fewer than a thousand) are broadcast and the others joined.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; rows without an id get a fingerprint
 but a null component; rows that repeat an id each keep their own; an empty table gives an empty result.
@@ -190,8 +192,8 @@ def _within(a: str, b: str, radius: int = RADIUS) -> Column:
 def link_components(fps: DataFrame) -> DataFrame:
     """(fp, root) for the distinct fingerprints `fps` that have a link."""
     filed, probes = _filed(fps), _looked_up(fps)
-    # a bucket's least fingerprint and whether it files others
-    heads = filed.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("most"))
+    # a bucket's least fingerprint and whether it files others; as many as fingerprints, so never broadcast
+    heads = filed.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("most")).hint("merge")
     met = probes.join(heads, "key").where(F.col("head") != F.col("fp")).where(_within("fp", "head") | (F.col("head") != F.col("most")))
     met = staged(met.select("key", "fp", "head", (F.col("head") != F.col("most")).alias("mixed"), _within("fp", "head").alias("near")), "met")
     edges = met.where("near").select(F.col("fp").alias("a"), F.col("head").alias("b"))
@@ -201,12 +203,13 @@ def link_components(fps: DataFrame) -> DataFrame:
     mixed = met.where("mixed")
     looking = mixed.select("key", "fp").union(mixed.groupBy("key").agg(F.first("head").alias("fp")))
     labelled = looking.join(roots, looking["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    labelled = staged(labelled, "looking")
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(open_keys, "key")
-    there = rest.where(_is_filed("fp", "key"))
-    left, right = rest.alias("l"), there.alias("r")
-    across = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & _within("l.fp", "r.fp"))
+    labelled = staged(labelled.withColumn("filed", _is_filed("fp", "key")), "looking")
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    open_keys = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.count("*").alias("roots")).where("roots > 1").select("key", "common")
+    there = labelled.join(open_keys, "key")
+    left, right = there.where("root <> common").alias("l"), there.hint("merge").alias("r")
+    apart = (F.col("l.root") != F.col("r.root")) & (F.col("l.filed") | F.col("r.filed"))
+    across = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & _within("l.fp", "r.fp"))
     more = staged(across.select(F.col("l.root").alias("a"), F.col("r.root").alias("b")).distinct(), "across")
     if more.isEmpty():
         return roots.select(F.col("node").alias("fp"), "root")
@@ -228,14 +231,16 @@ def _is_filed(fp: str, key: str) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id, fp, component_id): the least id that a chain of links reaches, for every document."""
     rows = staged(fingerprint_rows(docs, id_col, text_col, words), "fingerprints")
-    least = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    least = staged(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = staged(link_components(least.select("fp")), "roots")
     linked = roots.join(least, "fp")
     tops = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = linked.select("fp", "root").join(tops, "root").select("fp", "component_id")
-    by_fp = least.join(by_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(by_fp, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return out.withColumnRenamed("id", id_col)
+    by_fp = staged(least.join(by_fp, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "by_fingerprint")
+    hot = F.col("n") * 1000 > F.lit(rows.count())
+    few = F.broadcast(by_fp.where(hot).drop("n"))
+    out = rows.join(few, "fp").union(rows.join(few, "fp", "left_anti").join(by_fp.where(~hot).drop("n"), "fp", "left"))
+    return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
