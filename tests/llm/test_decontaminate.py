@@ -63,3 +63,16 @@ def test_empty_tables(spark):
     got = decontaminate.find_contamination(table(spark, rows()), none).collect()
     assert all(r["n_hit"] == 0 for r in got)
     assert decontaminate.find_contamination(table(spark, []), none).collect() == []
+
+
+def test_a_hot_window_of_many_items(spark):
+    """One passage in half the documents and in forty items, on both paths."""
+    hot = " ".join(prose(901, 14).split())
+    items = spark.createDataFrame([(k, hot) for k in range(40)] + [(50, prose(902, 20))], "item_id long, text string")
+    docs = table(spark, [(k, (hot + " ") * 3 if k % 2 else prose(k, 40), "en", "s") for k in range(30)])
+    for limit in (500_000, 0):
+        got = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, items, broadcast_windows=limit).collect()}
+        assert len(got) == 30
+        for k in range(30):
+            assert (got[k]["n_items"], got[k]["n_hit"]) == ((40, 42) if k % 2 else (0, 0))
+            assert got[k]["items"] == (sorted(str(i) for i in range(40)) if k % 2 else [])
