@@ -21,16 +21,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from girder.llm.pii import KINDS, find_pii, span_text
+    from girder.llm.pii import ALL, KINDS, find_pii, span_text
 
     rows = find_pii(table(spark, sf_dir, "documents"))
     counts = [_count_of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     base = F.sha2(span_text("base").cast("binary"), 256)
-    return rows.select("doc_id", *counts, base.alias("base_sha256"), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    more = [F.size(F.concat("base", "added")).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"), _count_of(ALL.index("secret"), "added").alias("n_secret")]
+    return rows.select("doc_id", *counts, base.alias("base_sha256"), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), *more)
 
 
-def _count_of(kind: int):
-    return F.size(F.filter("base", lambda s: s["k"] == kind)).cast("long")
+def _count_of(kind: int, spans: str = "base"):
+    return F.size(F.filter(spans, lambda s: s["k"] == kind)).cast("long")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
