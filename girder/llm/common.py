@@ -5,22 +5,25 @@ Documents are rows with an id column and a text column. A null text is an empty
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _A2Z = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a fresh one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='girder-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,6 +45,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def with_tag(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __tag: 0, or where an id has several texts, the number of the text among them.
+
+    (id, tag) names a text, so that what is decided for one row of a repeated id is not applied to another. The texts themselves
+    are not shuffled unless ids repeat.
+    """
+    marks = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__mark"))
+    several = marks.groupBy("__id").agg(F.min("__mark").alias("lo"), F.max("__mark").alias("hi")).where("lo <> hi").select("__id")
+    tags = marks.join(several, "__id", "left_semi").distinct().withColumn("__tag", F.row_number().over(Window.partitionBy("__id").orderBy("__mark")) - 1)
+    tags = staged(tags, "tags")
+    if tags.isEmpty():
+        return docs.withColumn("__tag", F.lit(0))
+    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__mark"))
+    return docs.join(tags, same, "left").drop("__id", "__mark").withColumn("__tag", F.coalesce("__tag", F.lit(0)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,8 @@ each partition streams its sorted rows and decides the keys that lie inside it;
 that touch a partition's ends are decided by a second, pre-aggregated pass. Text never moves here.
 
 Defined cases: a null text is one empty line; rows without an id keep all lines and are not counted;
-rows that share an id share one bitmap; an empty table gives an empty result; other columns are ignored.
+rows that share an id count as one document, and each text of theirs
+has its own bitmap (by id and __tag, see common.with_tag); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import ascii_lower, staged
+from girder.llm.common import ascii_lower, staged, with_tag
 
 SPACE = " \t\n\x0b\x0c\r"
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(h1, h2, id, pos, n_lines) for each line whose key has min_chars code points or more."""
+    """(h1, h2, id, tag, pos, n_lines) for each line whose key has min_chars code points or more."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), lines.alias("lines"))
-    rows = rows.select("id", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    rows = rows.where(F.char_length("line") >= min_chars).select("id", "n_lines", "pos", F.btrim("line", F.lit(SPACE)).alias("key"))
-    rows = rows.where(F.char_length("key") >= min_chars).select("id", "n_lines", "pos", ascii_lower(F.col("key")).alias("key"))
-    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2"), "id", "pos", "n_lines")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("__tag").alias("tag"), lines.alias("lines"))
+    rows = rows.select("id", "tag", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    rows = rows.where(F.char_length("line") >= min_chars).select("id", "tag", "n_lines", "pos", F.btrim("line", F.lit(SPACE)).alias("key"))
+    rows = rows.where(F.char_length("key") >= min_chars).select("id", "tag", "n_lines", "pos", ascii_lower(F.col("key")).alias("key"))
+    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2"), "id", "tag", "pos", "n_lines")
 
 
 def _decide(h1, h2, ids, min_docs: int) -> np.ndarray:
@@ -52,7 +53,7 @@ def _decide(h1, h2, ids, min_docs: int) -> np.ndarray:
 
 def _stream(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted. Yields dropped lines (open=False) and all lines of the keys at either end (open=True)."""
-    names = ["h1", "h2", "id", "pos", "n_lines"]
+    names = ["h1", "h2", "id", "tag", "pos", "n_lines"]
     schema = pa.schema([(n, pa.int64() if n in ("h1", "h2", "id") else pa.int32()) for n in names] + [("open", pa.bool_())])
 
     def out(cols, is_open):
@@ -105,34 +106,36 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped = b.column("dropped").to_pylist()
         maps = [keep_bitmap(x, d) for x, d in zip(n, dropped, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("n_lines"), pa.array([len(d) for d in dropped], pa.int32()), pa.array(maps, pa.binary())],
-            names=["id", "n_lines", "n_dropped", "keep_bitmap"],
+            [b.column("id"), b.column("tag"), b.column("n_lines"), pa.array([len(d) for d in dropped], pa.int32()), pa.array(maps, pa.binary())],
+            names=["id", "tag", "n_lines", "n_dropped", "keep_bitmap"],
         )
 
 
 def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(id, n_lines, n_dropped, keep_bitmap) for each document that loses a line; the others keep all theirs.
+    """(id, __tag, n_lines, n_dropped, keep_bitmap) for each text that loses a line; the others keep all theirs.
 
     keep_bitmap is zlib-compressed, one bit for each line, most significant first; see kept_lines().
     """
+    docs = docs if "__tag" in docs.columns else with_tag(docs.select(id_col, text_col), id_col, text_col)
     order = [F.col("h1"), F.col("h2"), F.col("id").desc()]
     rows = line_rows(docs, id_col, text_col, min_chars).repartitionByRange(*order).sortWithinPartitions(*order, F.col("pos"))
-    rows = staged(rows.mapInArrow(lambda b: _stream(b, min_docs), "h1 long, h2 long, id long, pos int, n_lines int, open boolean"), "lines")
+    rows = staged(rows.mapInArrow(lambda b: _stream(b, min_docs), "h1 long, h2 long, id long, tag int, pos int, n_lines int, open boolean"), "lines")
     ends = rows.where("open")
     found = ends.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
     # two keys a partition at most, so the broadcast is bounded by the number of partitions
     found = F.broadcast(found.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
     late = ends.join(found, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
-    dropped = rows.where("not open").select("id", "pos", "n_lines").union(late.select("id", "pos", "n_lines"))
-    dropped = dropped.groupBy("id").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("dropped"))
-    out = dropped.mapInArrow(_bitmaps, "id long, n_lines int, n_dropped int, keep_bitmap binary")
-    return out.withColumnRenamed("id", id_col)
+    dropped = rows.where("not open").select("id", "tag", "pos", "n_lines").union(late.select("id", "tag", "pos", "n_lines"))
+    dropped = dropped.groupBy("id", "tag").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("dropped"))
+    out = dropped.mapInArrow(_bitmaps, "id long, tag int, n_lines int, n_dropped int, keep_bitmap binary")
+    return out.withColumnsRenamed({"id": id_col, "tag": "__tag"})
 
 
 def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_dropped, kept): each document's remaining lines, joined by newlines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(bitmaps.select(F.col(id_col).alias("id"), "n_dropped", "keep_bitmap"), "id", "left")
+    docs = docs if "__tag" in docs.columns else with_tag(docs.select(id_col, text_col), id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), "__tag", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(bitmaps.select(F.col(id_col).alias("id"), "__tag", "n_dropped", "keep_bitmap"), ["id", "__tag"], "left").drop("__tag")
 
     def cut(batches):
         for b in batches:

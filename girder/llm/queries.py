@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.common import with_tag
     from girder.llm.line_dedup import apply_keep_bitmaps, line_keep_bitmaps
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = with_tag(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     kept = apply_keep_bitmaps(docs, line_keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

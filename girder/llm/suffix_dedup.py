@@ -14,7 +14,7 @@ the length of its common prefix with it and the byte that follows, and those pla
 Equal windows are neighbours then, and windows of a class whose least id is smaller than their own are removed.
 
 Defined cases: null and short texts (under SPAN bytes) lose nothing; rows without an id lose nothing and are not compared;
-rows that share an id are not compared with each other, and share what any of them loses; an empty table gives an empty result;
+rows that share an id are not compared with each other, and each text of theirs loses its own bytes; an empty table gives an empty result;
 texts of any length are cut into overlapping blocks; other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import mix, pieces, range_hash, shuffle_width, staged, text_buffer
+from girder.llm.common import mix, pieces, range_hash, shuffle_width, staged, text_buffer, with_tag
 
 SPAN, K = 50, 16
 REACH = SPAN - K + 1
@@ -96,7 +96,8 @@ class Sender:
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.texts, self.size = buckets, [], [], 0
 
-    def add(self, ids: np.ndarray, buf: np.ndarray, off: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, buf: np.ndarray, off: np.ndarray, tags: np.ndarray | None = None) -> None:
+        tags = np.zeros(len(ids), np.int32) if tags is None else tags
         for at in range(0, max(len(buf), 1), BLOCK):
             part = buf[at : at + BLOCK + SPAN - 1]
             lo = int(np.searchsorted(off, at, side="right")) - 1
@@ -106,13 +107,13 @@ class Sender:
             first, count, anchor, h = block_records(part, own)
             doc = lo + np.searchsorted(own, first, side="right") - 1
             key = range_hash(part, first, first + count + (SPAN - 1)) ^ mix(h + anchor.astype(np.uint64))
-            self.parts.append((ids[doc], (first + at - off[doc]).astype(np.int32), count.astype(np.uint8), anchor.astype(np.uint8), h, key, first + (self.size + at)))
+            self.parts.append((ids[doc], tags[doc], (first + at - off[doc]).astype(np.int32), count.astype(np.uint8), anchor.astype(np.uint8), h, key, first + (self.size + at)))
         self.texts.append(buf)
         self.size += len(buf)
 
     def flush(self):
-        """Settled intervals (id, start, end), and (bucket, blob) pairs."""
-        ids, start, count, anchor, h, key, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        """Settled intervals (id, tag, start, end), and (bucket, blob) pairs."""
+        ids, tags, start, count, anchor, h, key, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         data = np.concatenate(self.texts)
         self.parts, self.texts, self.size = [], [], 0
         size = count.astype(np.int64) + SPAN - 1
@@ -131,24 +132,24 @@ class Sender:
             if differ.any():
                 wrong[k + np.repeat(np.arange(len(l)), size[l])[differ]] = True
         later = later[~wrong]
-        settled = (ids[later], start[later], start[later] + size[later].astype(np.int32))
+        settled = (ids[later], tags[later], start[later], start[later] + size[later].astype(np.int32))
         left = np.ones(len(ids), bool)
         left[later] = False
         bucket = (mix(h) % np.uint64(self.buckets)).astype(np.int64)
         rest = np.flatnonzero(left)
-        rest = rest[np.lexsort((start[rest], ids[rest], bucket[rest]))]
+        rest = rest[np.lexsort((start[rest], tags[rest], ids[rest], bucket[rest]))]
         bounds = np.flatnonzero(np.diff(bucket[rest], prepend=-1))
         blobs = []
         for lo, hi in zip(bounds, [*bounds[1:], len(rest)], strict=True):
             r = rest[lo:hi]
-            blobs.append((int(bucket[r[0]]), pack(ids[r], start[r], count[r], anchor[r], gather(data, at[r], size[r]))))
+            blobs.append((int(bucket[r[0]]), pack(ids[r], tags[r], start[r], count[r], anchor[r], gather(data, at[r], size[r]))))
         return settled, blobs
 
 
-def pack(ids, start, count, anchor, data) -> bytes:
+def pack(ids, tags, start, count, anchor, data) -> bytes:
     head = np.array([len(ids)], "<i8").tobytes()
     step = np.diff(ids, prepend=0).astype("<i8")
-    raw = head + step.tobytes() + start.astype("<i4").tobytes() + count.tobytes() + anchor.tobytes() + data.tobytes()
+    raw = head + step.tobytes() + start.astype("<i4").tobytes() + tags.astype("<i4").tobytes() + count.tobytes() + anchor.tobytes() + data.tobytes()
     return np.array([len(raw)], "<i8").tobytes() + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
@@ -156,9 +157,9 @@ def unpack(blob: bytes):
     raw = pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob, "<i8", 1)[0]), asbytes=True)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     ids = np.cumsum(np.frombuffer(raw, "<i8", n, 8))
-    start = np.frombuffer(raw, "<i4", n, 8 + 8 * n)
-    count, anchor = np.frombuffer(raw, "u1", n, 8 + 12 * n), np.frombuffer(raw, "u1", n, 8 + 13 * n)
-    return ids, start, count, anchor, np.frombuffer(raw, np.uint8, offset=8 + 14 * n)
+    start, tags = np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n)
+    count, anchor = np.frombuffer(raw, "u1", n, 8 + 16 * n), np.frombuffer(raw, "u1", n, 8 + 17 * n)
+    return ids, tags, start, count, anchor, np.frombuffer(raw, np.uint8, offset=8 + 18 * n)
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -246,10 +247,10 @@ def deep_shallow_sort(buf: np.ndarray, suffix: np.ndarray, group: np.ndarray, le
 # ---------------------------------------------------------------- buckets
 
 
-def bucket_intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, start, end) of what the records of one bucket lose."""
+def bucket_intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, tag, start, end) of what the records of one bucket lose."""
     parts = [unpack(b) for b in blobs]
-    ids, start, count, anchor, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, tags, start, count, anchor, data = (np.concatenate(x) for x in zip(*parts, strict=True))
     size = count.astype(np.int64) + SPAN - 1
     at = np.cumsum(size) - size
     # records that share an anchor with another document's
@@ -265,7 +266,7 @@ def bucket_intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     shared = (low < high)[group]
     rec, group = order[shared], group[shared]
     if not len(rec):
-        return ids[:0], start[:0], start[:0]
+        return ids[:0], tags[:0], start[:0], start[:0]
     # every window of these records; equal ones have the same anchor at the same offset
     n = count[rec].astype(np.int64)
     owner = np.repeat(np.arange(len(rec)), n)
@@ -285,7 +286,7 @@ def bucket_intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     last[:-1] &= ~gone[1:] | (owner[1:] != owner[:-1])
     f, t = np.flatnonzero(first), np.flatnonzero(last)
     r = rec[owner[f]]
-    return ids[r], (start[r] + step[f]).astype(np.int32), (start[r] + step[t] + SPAN).astype(np.int32)
+    return ids[r], tags[r], (start[r] + step[f]).astype(np.int32), (start[r] + step[t] + SPAN).astype(np.int32)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,36 +303,42 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end): byte intervals that each document loses; they may overlap."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, __tag, start, end): byte intervals that each document loses; they may overlap. __tag is as in with_tag."""
+    docs = docs if "__tag" in docs.columns else with_tag(docs, id_col, text_col)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("__tag").alias("tag"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * shuffle_width(docs.sparkSession), 4 * total // BUCKET_BYTES)
-    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blobs for the buckets (id null), and settled intervals in buckets of their own (-1 - id mod buckets, blob null)."""
         sender = Sender(buckets)
 
         def out():
-            (ids, start, end), blobs = sender.flush()
+            (ids, tags, start, end), blobs = sender.flush()
             for at in range(0, len(blobs), 64):
                 some = blobs[at : at + 64]
-                none = pa.nulls(len(some))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32())], schema=schema)
+                none = [pa.nulls(len(some)).cast(f.type) for f in list(schema)[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary()), *none], schema=schema)
             if len(ids):
-                own = np.flatnonzero(np.diff(ids[(order := np.lexsort((start, ids)))], prepend=ids.min() - 1))
-                i, s, e = [], [], []
+                order = np.lexsort((start, tags, ids))
+                new = np.ones(len(order), bool)
+                new[1:] = (ids[order][1:] != ids[order][:-1]) | (tags[order][1:] != tags[order][:-1])
+                own = np.flatnonzero(new)
+                i, g, s, e = [], [], [], []
                 for lo, hi in zip(own, [*own[1:], len(order)], strict=True):
                     a, b = merged(start[order[lo:hi]], end[order[lo:hi]])
                     i.append(np.full(len(a), ids[order[lo]]))
+                    g.append(np.full(len(a), tags[order[lo]]))
                     s.append(a)
                     e.append(b)
                 i = np.concatenate(i)
-                yield pa.RecordBatch.from_arrays([pa.array((-1 - i % buckets).astype(np.int32)), pa.nulls(len(i)).cast(pa.binary()), pa.array(i), pa.array(np.concatenate(s).astype(np.int32)), pa.array(np.concatenate(e).astype(np.int32))], schema=schema)
+                whole = [pa.array(np.concatenate(x).astype(np.int32)) for x in (g, s, e)]
+                yield pa.RecordBatch.from_arrays([pa.array((-1 - i % buckets).astype(np.int32)), pa.nulls(len(i)).cast(pa.binary()), pa.array(i), *whole], schema=schema)
 
         for batch in batches:
             for b in pieces(batch, "text", BLOCK):
-                sender.add(b.column("id").to_numpy(), *text_buffer(b.column("text")))
+                sender.add(b.column("id").to_numpy(), *text_buffer(b.column("text")), b.column("tag").to_numpy())
                 if sender.size >= FLUSH_BYTES:
                     yield from out()
         if sender.parts:
@@ -340,15 +347,15 @@ def removed_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def settle(group: pa.Table) -> pa.Table:
         blobs = group.column("blob")
         if blobs.null_count:
-            return group.select(["id", "start", "end"])
-        ids, start, end = bucket_intervals(blobs.to_pylist())
-        return pa.table({"id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
+            return group.select(["id", "tag", "start", "end"])
+        ids, tags, start, end = bucket_intervals(blobs.to_pylist())
+        return pa.table({"id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int32()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
 
-    sent = rows.mapInArrow(send, "bucket int, blob binary, id long, start int, end int")
-    found = staged(sent.groupBy("bucket").applyInArrow(settle, "id long, start int, end int"), "intervals")
+    sent = rows.mapInArrow(send, "bucket int, blob binary, id long, tag int, start int, end int")
+    found = staged(sent.groupBy("bucket").applyInArrow(settle, "id long, tag int, start int, end int"), "intervals")
     del sent
     release_shuffles(docs.sparkSession)
-    return found.withColumnRenamed("id", id_col)
+    return found.withColumnsRenamed({"id": id_col, "tag": "__tag"})
 
 
 def release_shuffles(spark) -> None:
@@ -361,8 +368,9 @@ def release_shuffles(spark) -> None:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary, kept_sha256) of every document."""
-    lost = removed_intervals(docs, id_col, text_col).groupBy(F.col(id_col).alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("lost"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(lost, "id", "left")
+    docs = with_tag(docs.select(id_col, text_col), id_col, text_col)
+    lost = removed_intervals(docs, id_col, text_col).groupBy(F.col(id_col).alias("id"), "__tag").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), "__tag", F.col(text_col).alias("text")).join(lost, ["id", "__tag"], "left").select("id", "text", "lost")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

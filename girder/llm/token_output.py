@@ -10,7 +10,8 @@ A shard file holds the documents of one range of ids, in ascending order:
     ids            uint16 or uint32, little-endian
 
 The boundaries are the ends of the documents in ids; Elias-Fano keeps them in about
-2 + log2(ids / documents) bits each, and select() finds one from a sample and a short scan.
+2 + log2(ids / documents) bits each, and select() finds one, or a run of them, from a sample and a short scan. Reading asks
+select() for the bounds of READ documents at a time, and documents_at() for those of single documents.
 
 Plan: one range shuffle of (id, text), sorted inside partitions; each partition encodes and writes shards
 of bounded size. A file is written under a name of its attempt and then moved to its final name, so
@@ -34,8 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"GTOK0001"
-SAMPLE = 256
+#: Boundaries between samples of the high bits, and documents that are read at a time.
+SAMPLE, READ = 256, 1024
 NO_ID = -(1 << 63)
+#: Documents that one call of documents_at may name.
+WANTED = 10_000
 _tokenizers: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -123,32 +127,26 @@ class EliasFano:
         high[ones] = 1
         return cls(n, bits, low, np.packbits(high), ones[::SAMPLE].astype(np.uint32))
 
-    def _low(self, k: int) -> int:
-        value = 0
-        for bit in range(k * self.low_bits, (k + 1) * self.low_bits):
-            value = value << 1 | int(self.low[bit >> 3]) >> (7 - (bit & 7)) & 1
-        return value
-
-    def select(self, k: int) -> int:
-        """The k-th number (from 0)."""
-        place, left = int(self.samples[k // SAMPLE]), k % SAMPLE
-        byte = place >> 3
-        bits = np.unpackbits(self.high[byte : byte + 1])
+    def _lows(self, first: int, last: int) -> np.ndarray:
+        """The low parts of the numbers first to last - 1."""
+        a, b = first * self.low_bits, last * self.low_bits
+        bits = np.unpackbits(self.low[a >> 3 : (b + 7) >> 3])[a & 7 :][: b - a].reshape(last - first, self.low_bits)
+        return (bits.astype(np.int64) << np.arange(self.low_bits - 1, -1, -1)).sum(axis=1)
+
+    def select(self, first: int, last: int | None = None) -> np.ndarray | int:
+        """The number at place `first`, or the numbers from there to place `last` - 1; only their stretch of the bits is read."""
+        if last is None:
+            return int(self.select(first, first + 1)[0])
+        if last <= first:
+            return np.zeros(0, np.int64)
+        block, end = first // SAMPLE, -(-last // SAMPLE)
+        place = int(self.samples[block])
+        stop = int(self.samples[end]) >> 3 if end < len(self.samples) else len(self.high) - 1
+        bits = np.unpackbits(self.high[place >> 3 : stop + 1])
         bits[: place & 7] = 0
-        while (here := int(bits.sum())) <= left:
-            left -= here
-            byte += 1
-            bits = np.unpackbits(self.high[byte : byte + 1])
-        one = byte * 8 + int(np.flatnonzero(bits)[left])
-        return (one - k) << self.low_bits | self._low(k)
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        high = (ones - np.arange(self.n)) << self.low_bits
-        if not self.low_bits or not self.n:
-            return high
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.int64) << np.arange(self.low_bits - 1, -1, -1)).sum(axis=1)
+        skip = first - block * SAMPLE
+        ones = (place >> 3) * 8 + np.flatnonzero(bits)[skip : skip + last - first]
+        return ((ones - np.arange(first, last)) << self.low_bits) | self._lows(first, last)
 
 
 def pack(doc_ids: list[int], tokens: list[np.ndarray], wide: bool) -> bytes:
@@ -244,11 +242,35 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for b in batches:
             for name, blob in zip(b.column("file").to_pylist(), b.column("content"), strict=True):
                 ids, ends, tokens = unpack(memoryview(blob.as_buffer()))
-                stop = ends.all()
-                start = np.concatenate([[0], stop[:-1]])
-                crc = [zlib.crc32(tokens[s:e].astype("<u4").tobytes()) for s, e in zip(start, stop, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64())], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
+                for at in range(0, len(ids), READ):
+                    last = min(at + READ, len(ids))
+                    bounds = np.concatenate([[0], ends.select(0, last)]) if at == 0 else ends.select(at - 1, last)
+                    start, stop = bounds[:-1], bounds[1:]
+                    crc = [zlib.crc32(tokens[s:e].astype("<u4").tobytes()) for s, e in zip(start, stop, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * (last - at)), pa.array(ids[at:last]), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64())], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = files.mapInArrow(read, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = rows.join(bases, "file")
     return rows.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def documents_at(spark: SparkSession, folder: str, doc_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids): the token ids of the documents named in doc_ids, as written; other documents' ids are not read.
+
+    Each shard finds its own by bisection, then their bounds by select(). The wanted ids of one call are a bounded set: they are broadcast.
+    """
+    wanted = sorted({int(r[0]) for r in doc_ids.select(id_col).where(F.col(id_col).isNotNull()).limit(WANTED + 1).collect()})
+    if len(wanted) > WANTED:
+        raise ValueError(f"at most {WANTED} documents a call")
+    shared = spark.sparkContext.broadcast(np.array(wanted, np.int64))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gtok").load(folder).select("content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("content"):
+                ids, ends, tokens = unpack(memoryview(blob.as_buffer()))
+                places = np.flatnonzero(np.isin(ids, shared.value))
+                lists = [tokens[ends.select(k - 1) if k else 0 : ends.select(k)].tolist() for k in places.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[places]), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return files.mapInArrow(read, "doc_id long, ids array<long>")

@@ -46,8 +46,8 @@ def test_kept_lines_match_brute_force(spark, parts):
 def test_stream_decides_whole_keys_and_leaves_the_ends_open(size):
     key = np.repeat(np.arange(6), [3, 8, 2, 7, 1, 6])
     ids = np.concatenate([np.arange(n)[::-1] for n in (3, 8, 2, 7, 1, 6)])
-    cols = [key, key * 3, ids, np.zeros(len(key), np.int32), np.ones(len(key), np.int32)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in cols], names=["h1", "h2", "id", "pos", "n_lines"]) for k in range(0, len(key), size)]
+    cols = [key, key * 3, ids, np.zeros(len(key), np.int32), np.zeros(len(key), np.int32), np.ones(len(key), np.int32)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in cols], names=["h1", "h2", "id", "tag", "pos", "n_lines"]) for k in range(0, len(key), size)]
     out = pa.Table.from_batches(list(ld._stream(iter(batches), 5))).to_pylist()
     assert sorted({r["h1"] for r in out if r["open"]}) == [0, 5] and sum(r["open"] for r in out) == 9
     closed = [(r["h1"], r["id"]) for r in out if not r["open"]]
@@ -59,6 +59,13 @@ def test_bitmaps_round_trip():
     assert keep.tolist() == [k not in (0, 4, 10) for k in range(11)]
 
 
+def test_texts_of_one_id_have_their_own_bitmaps(spark):
+    data = [(k, f"{LONG}\nown {k}", "en", "s") for k in range(6)] + [(2, f"first\n{LONG}\nlast", "en", "s"), (2, "one line", "en", "s"), (2, None, "en", "s"), (2, f"first\n{LONG}\nlast", "en", "s")]
+    docs = table(spark, data)
+    got = ld.apply_keep_bitmaps(docs, ld.line_keep_bitmaps(docs)).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in got) == brute(data)
+
+
 def test_empty_table(spark):
     docs = table(spark, [])
     assert ld.apply_keep_bitmaps(docs, ld.line_keep_bitmaps(docs)).collect() == []

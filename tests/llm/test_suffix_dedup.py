@@ -49,9 +49,9 @@ def test_long_texts_are_cut_into_blocks(spark, monkeypatch):
     b = b"".join(t.encode() for _, t, *_ in rows)
     off = np.concatenate([[0], np.cumsum([len(t.encode()) for _, t, *_ in rows])])
     sender.add(np.array([1, 2, 3, 4]), np.frombuffer(b, np.uint8), off)
-    (ids, start, end), blobs = sender.flush()
-    parts = [(ids, start, end)] + [sd.bucket_intervals([x for k, x in blobs if k == bucket]) for bucket in {k for k, _ in blobs}]
-    ids, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    (ids, tags, start, end), blobs = sender.flush()
+    parts = [(ids, tags, start, end)] + [sd.bucket_intervals([x for k, x in blobs if k == bucket]) for bucket in {k for k, _ in blobs}]
+    ids, _, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
     for i, t, *_ in rows:
         s, e = sd.merged(start[ids == i], end[ids == i]) if (ids == i).any() else (np.zeros(0, int), np.zeros(0, int))
         assert (int((e - s).sum()), len(s)) == want[i][0][1:3]
@@ -69,5 +69,12 @@ def test_order_is_a_suffix_order():
     assert all((cls[k] == cls[k - 1]) == (keys[k] == keys[k - 1]) for k in range(1, len(keys)))
 
 
+def test_rows_of_one_id_lose_their_own_bytes(spark):
+    shared = prose(31, 40)
+    rows = [(1, shared, "en", "s"), (5, "Z" * 400, "en", "s"), (5, f"a {shared} b", "en", "s"), (5, f"a {shared} b", "en", "s"), (5, None, "en", "s"), (7, "Z" * 80, "en", "s")]
+    assert got(spark, rows) == brute(rows)
+    assert (400, 0, 0) in [x[:3] for x in got(spark, rows)[5]]
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(table(spark, [])).collect() == []

@@ -31,6 +31,9 @@ def test_elias_fano(values):
     ef = to.EliasFano.build(np.array(values, np.int64))
     assert ef.all().tolist() == values
     assert [ef.select(k) for k in range(len(values))] == values
+    for first, last in ((0, len(values)), (1, len(values) - 1), (255, 257), (256, 512), (300, 301), (511, 1400)):
+        if 0 <= first < last <= len(values):
+            assert ef.select(first, last).tolist() == values[first:last]
 
 
 def test_files_round_trip(spark, library):
@@ -51,6 +54,16 @@ def test_files_round_trip(spark, library):
             assert r["n_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
 
 
+def test_single_documents_are_read_by_select(spark, library):
+    rows = awkward() + [(500 + k, t, "en", "s") for k, t in enumerate(ODD)]
+    folder = fresh_path(spark, "tokens")
+    staged(to.write_tokens(table(spark, rows), folder, PATH, shard_bytes=2000), "manifest")
+    wanted = spark.createDataFrame([(3,), (500,), (503,), (21,), (9999,), (None,)], "doc_id long")
+    got = {r["doc_id"]: r["ids"] for r in to.documents_at(spark, folder, wanted).collect()}
+    by_id = {i: t for i, t, *_ in rows if i is not None}
+    assert got == {i: [*library.encode(by_id[i] or "", add_special_tokens=False).ids, 0] for i in (3, 500, 503, 21)}
+
+
 def test_empty_table(spark):
     import os
 
