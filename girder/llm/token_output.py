@@ -148,6 +148,9 @@ class EliasFano:
         ones = (place >> 3) * 8 + np.flatnonzero(bits)[skip : skip + last - first]
         return ((ones - np.arange(first, last)) << self.low_bits) | self._lows(first, last)
 
+    def all(self) -> np.ndarray:
+        return self.select(0, self.n)
+
 
 def pack(doc_ids: list[int], tokens: list[np.ndarray], wide: bool) -> bytes:
     ends = np.cumsum([len(t) for t in tokens])
