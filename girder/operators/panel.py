@@ -119,3 +119,8 @@ def snapshot_features(panel: DataFrame, key: str = "project_id", month: str = "r
     rows = rows.withColumns({"progress_increment": increment("actual_physical_progress_pct", w), "cost_increment": increment("actual_cost_to_date_inr_cr", w), "adverse": rising("delay_factor_total", w), "__under": F.coalesce((c("actual_physical_progress_pct") < c("planned_physical_progress_pct")).cast("int"), F.lit(0))})
     rows = rows.withColumns({"progress_trend_3m": trailing_mean("progress_increment", w), "cost_trend_3m": trailing_mean("cost_increment", w), "adverse_3m": trailing_sum("adverse", w)})
     return run_length(rows, "__under", "under_run", key, month).drop("__under", "adverse")
+
+
+def days_to_month(month: Column, day: Column) -> Column:
+    """Days from a date to the first of a yyyy-MM month (negative where the date is later)."""
+    return F.datediff(F.to_date(month, "yyyy-MM"), day)
