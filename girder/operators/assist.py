@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Intent patterns in the order of trial, concepts, direction words, levels, dimensions.
 INTENTS = (
     ("whatif", (r"\bwhat happens if\b", r"\bwhat would happen if\b", r"\bwhat if\b")),
-    ("support", (r"\bhow do i\b", r"\bhow can i\b", r"\bhow to\b", r"\bhow does .+ work\b", r"\bwhat does .+ mean\b", r"\bwhat is (a |an )?(model prediction|what-?if|insufficient data|hri)\b")),
+    ("support", (r"\bhow do i\b", r"\bhow can i\b", r"\bhow to\b", r"\bhow does .+ work\b", r"\bwhat does .+ mean\b", r"\bwhat is (a |an )?(model prediction|what-?if|insufficient data)\b")),
     ("risk", (r"\bwhy is\b.*\brisk", r"\bwhy are\b.*\brisk", r"\bwhy .* high risk\b", r"\bwhy .* risky\b", r"\brisk driver", r"\brisk summary\b", r"\bwhy .* (delay|cost overrun)\b", r"\bwhat.?s driving\b")),
     ("portfolio", (r"\bwhich projects\b", r"\bdistribution\b", r"\bportfolio\b", r"\bhow many projects\b", r"\btop risk", r"\bsegment", r"\bby state\b", r"\bby contractor\b", r"\bby (project )?type\b", r"\btrend", r"\bacross the (portfolio|corpus)\b")),
     ("project", (r"\binformation about\b", r"\bdetails? (about|for|on)\b", r"\btell me about\b", r"\bstatus of\b", r"\bshow me\b")),
@@ -62,14 +62,14 @@ def support_topic(message: Column) -> Column:
     return _first([(_any([F.contains(t, F.lit(w)) for w in words]), F.lit(name)) for name, words in SUPPORT], F.lit("default"))
 
 
-def entities(message: Column) -> Column:
+def entities(message: Column, ids: str = r"(?i)\b[A-Z]{2,}(?:-[A-Z]+)*-\d{4,}\b") -> Column:
     """project id, month, risk level and dimension named in a message; null where absent."""
     m = F.coalesce(message, F.lit(""))
     t = F.lower(m)
     known = lambda c: F.when(c != "", c)
     level = _first([(t.rlike(rf"\b{x}\b"), F.lit(x.upper())) for x in ("critical", "high", "medium", "low")], F.lit(None).cast("string"))
     dimension = _first([(F.contains(t, F.lit(p)), F.lit(d)) for p, d in (("contractor", "contractor"), ("project type", "project_type"), ("state", "state"))], F.lit(None).cast("string"))
-    return F.struct(known(F.upper(F.regexp_extract(m, r"(?i)\bHRI-\d{4,}\b", 0))).alias("project_id"), known(F.regexp_extract(m, r"\d{4}-(0[1-9]|1[0-2])", 0)).alias("month"), level.alias("risk_level"), dimension.alias("dimension"))
+    return F.struct(known(F.upper(F.regexp_extract(m, ids, 0))).alias("project_id"), known(F.regexp_extract(m, r"\d{4}-(0[1-9]|1[0-2])", 0)).alias("month"), level.alias("risk_level"), dimension.alias("dimension"))
 
 
 def whatif(message: Column) -> Column:

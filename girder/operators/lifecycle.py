@@ -14,17 +14,17 @@ from girder.operators.panel import months_between_starts
 USER = "USER_ENTERED"
 
 
-def next_id(projects: DataFrame, prefix: str = "HRI-USER-") -> str:
+def next_id(projects: DataFrame, prefix: str = "USER-") -> str:
     """The largest numeric suffix plus one, four digits or more."""
     n = F.try_to_number(F.regexp_extract("project_id", rf"^{prefix}(\d+)$", 1), F.lit("9" * 12))
     last = projects.agg(F.max(n).alias("n")).first()["n"]
     return f"{prefix}{int(last or 0) + 1:04d}"
 
 
-def created(projects: DataFrame, row: dict) -> DataFrame:
+def created(projects: DataFrame, row: dict, prefix: str = "USER-") -> DataFrame:
     """projects with one more row of the user's; an id that exists is refused."""
     row = dict(row)
-    row.setdefault("project_id", next_id(projects))
+    row.setdefault("project_id", next_id(projects, prefix))
     if not projects.where(F.col("project_id") == row["project_id"]).isEmpty():
         raise ValueError(f"{row['project_id']} exists")
     row |= {"data_provenance": USER, "is_archived": False, "archived_at": None}
@@ -54,14 +54,14 @@ OUTCOMES = ["final_delay_days", "significant_delay", "final_cost_overrun_pct", "
 def judged_appends(new: DataFrame, snapshots: DataFrame, projects: DataFrame) -> DataFrame:
     """new with derived columns and `refused`: the first guard that a row fails, or null.
 
-    Guards in order: unknown project, finished project, month already there (or twice in the batch), month before the start,
-    a finished row without outcomes, an open row with outcomes.
+    Guards in order: unknown project, finished project (before, or earlier in the batch), month already there (or twice in the batch), month before the start,
+    a finished row without outcomes, an open row with outcomes. Of rows that repeat a month, the one of the least hash of all columns counts.
     """
     ended = snapshots.where("is_terminal_snapshot").select("project_id").distinct().withColumn("__ended", F.lit(True))
     there = snapshots.select("project_id", "reporting_month").distinct().withColumn("__there", F.lit(True))
     starts = projects.select("project_id", F.col("planned_start_date").alias("__start"))
     rows = new.join(starts, "project_id", "left").join(ended, "project_id", "left").join(there, ["project_id", "reporting_month"], "left")
-    twice = F.row_number().over(Window.partitionBy("project_id", "reporting_month").orderBy(F.lit(1))) > 1
+    twice = F.row_number().over(Window.partitionBy("project_id", "reporting_month").orderBy(F.xxhash64(*sorted(new.columns)))) > 1
     done = F.col("project_status") == "Completed"
     known = lambda f: f([F.col(c).isNotNull() for c in OUTCOMES])
 
@@ -80,17 +80,18 @@ def judged_appends(new: DataFrame, snapshots: DataFrame, projects: DataFrame) ->
     since = months_between_starts(F.col("__start"), F.col("reporting_month"))
     refused = (
         F.when(F.col("__start").isNull(), "unknown project")
-        .when(F.col("__ended"), "project has ended")
+        .when(F.col("__ended") | F.coalesce(F.col("reporting_month") > F.col("__end"), F.lit(False)), "project has ended")
         .when(F.col("__there") | F.col("__twice"), "month exists")
         .when(since < 0, "month before start")
         .when(done & ~known(all_of), "outcomes missing")
         .when(~done & known(any_of), "outcomes before the end")
     )
-    out = rows.withColumn("__twice", twice).withColumns({"months_since_start": since.cast("int"), "is_terminal_snapshot": done, "refused": refused})
+    end = F.min(F.when(done & known(all_of), F.col("reporting_month"))).over(Window.partitionBy("project_id"))
+    out = rows.withColumns({"__twice": twice, "__end": end}).withColumns({"months_since_start": since.cast("int"), "is_terminal_snapshot": done, "refused": refused})
     gap = lambda a, b: F.col(a) - F.col(b)
     derived = {"physical_progress_variance_pct": ("actual_physical_progress_pct", "planned_physical_progress_pct"), "financial_progress_variance_pct": ("actual_financial_progress_pct", "planned_financial_progress_pct"), "expenditure_variance_pct": ("actual_financial_progress_pct", "planned_financial_progress_pct")}
     out = out.withColumns({c: gap(*p) for c, p in derived.items() if set(p) <= set(new.columns)})
-    return out.drop("__start", "__ended", "__there", "__twice")
+    return out.drop("__start", "__ended", "__there", "__twice", "__end")
 
 
 def appended(new: DataFrame, snapshots: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:

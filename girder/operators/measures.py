@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girder.operators.order import running
+
 
 def long_form(one: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
     """A one-row frame with columns <name>__<field> as a row for each name."""
@@ -16,8 +18,9 @@ def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     fields = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "lo": F.min, "hi": F.max}
     aggs = [f(c).cast("double").alias(f"{c}__{k}") for c in columns for k, f in fields.items()]
     marks = (0.05, 0.25, 0.5, 0.75, 0.95)
-    aggs += [F.percentile(c, F.lit(p)).alias(f"{c}__p{int(p * 100)}") for c in columns for p in marks]
-    return long_form(rows.agg(*aggs), columns, [*fields, *[f"p{int(p * 100)}" for p in marks]])
+    aggs += [F.percentile(c, F.array(*[F.lit(p) for p in marks])).alias(f"{c}__marks") for c in columns]  # one sorted pass a column
+    one = rows.agg(*aggs).withColumns({f"{c}__p{int(p * 100)}": F.get(f"{c}__marks", F.lit(k)) for c in columns for k, p in enumerate(marks)})
+    return long_form(one, columns, [*fields, *[f"p{int(p * 100)}" for p in marks]])
 
 
 def null_report(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,7 +66,7 @@ def missing_columns(rows: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in rows.columns]
 
 
-def panel_checks(pct: list[str], amounts: list[str], key: str = "project_id", month: str = "reporting_month") -> list:
+def panel_checks(pct: list[str], amounts: list[str], key: str = "project_id", month: str = "reporting_month", ids: str = r"^[A-Z]+(-[A-Z]+)*-\d{4,}$") -> list:
     """The row-level checks of a snapshot panel (percentages, amounts, formats, derived values, labels, extremes)."""
     c, bad = F.col, F.count_if
     anyof = lambda tests: bad(F.coalesce(tests, F.lit(False)))
@@ -76,7 +79,7 @@ def panel_checks(pct: list[str], amounts: list[str], key: str = "project_id", mo
 
     parts = c("material_cost_inr_cr") + c("labour_cost_inr_cr") + c("equipment_cost_inr_cr") + c("delay_related_cost_inr_cr") + F.coalesce("variation_cost_inr_cr", F.lit(0.0))
     return [
-        check("id_format", bad(~c(key).rlike(r"^HRI-\d{4,}$") | ~c(month).rlike(r"^\d{4}-(0[1-9]|1[0-2])$")), "ids and months have their formats"),
+        check("id_format", bad(~c(key).rlike(ids) | ~c(month).rlike(r"^\d{4}-(0[1-9]|1[0-2])$")), "ids and months have their formats"),
         check("known_ids", bad(c(key).isNull() | c(month).isNull() | c("significant_delay").isNull() | c("cost_overrun").isNull()), "ids and targets are known"),
         check("pct_range", anyof(or_all([(c(x) < 0) | (c(x) > 100) for x in pct])), "percentages lie in 0 to 100"),
         check("non_negative", anyof(or_all([c(x) < 0 for x in amounts]) | (c("original_contract_value_inr_cr") <= 0)), "amounts are not negative"),
@@ -134,12 +137,14 @@ def classification_metrics(rows: DataFrame, y: str, predicted: str) -> DataFrame
 def ranking_metrics(rows: DataFrame, y: str, score: str) -> DataFrame:
     """ROC-AUC (ties count half) and average precision; null with a single class.
 
-    Rows shrink to one for each distinct score first, so the ordered window runs over those alone.
+    Rows shrink to one for each distinct score first; the sums up to each are taken in ranges of scores.
     """
     per = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumns({"neg_below": F.coalesce(F.sum("neg").over(up), F.lit(0)), "pos_over": F.sum("pos").over(down), "all_over": F.sum(F.col("pos") + F.col("neg")).over(down)})
+    per = running(per, ["s"], {"neg": "neg_to", "pos": "pos_to"})
+    whole = per.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__q"))
+    per = per.join(F.broadcast(whole))
+    per = per.withColumns({"neg_below": F.col("neg_to") - F.col("neg"), "pos_over": F.col("__p") - F.col("pos_to") + F.col("pos"), "neg_over": F.col("__q") - F.col("neg_to") + F.col("neg")})
+    per = per.withColumn("all_over", F.col("pos_over") + F.col("neg_over"))
     area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     hits = F.sum(F.col("pos") * F.col("pos_over") / F.col("all_over"))
     out = per.agg(area.alias("area"), hits.alias("hits"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
@@ -150,10 +155,8 @@ def ranking_metrics(rows: DataFrame, y: str, score: str) -> DataFrame:
 def chronological_split(keys: DataFrame, start: str, key: str, train: float = 0.70, valid: float = 0.15, seed: int = 42) -> DataFrame:
     """Adds split: the earliest starts train, the next validate, the rest test; equal starts by a seeded hash of the key.
 
-    Sizes round half to even. One row for each project passes the ordered window.
+    Sizes round half to even.
     """
-    n = keys.count()
-    cut = round(n * train), round(n * train) + round(n * valid)
-    w = Window.orderBy(start, F.xxhash64(F.lit(seed), key), key)
-    rows = keys.withColumn("__rn", F.row_number().over(w))
-    return rows.withColumn("split", F.when(F.col("__rn") <= cut[0], "train").when(F.col("__rn") <= cut[1], "validation").otherwise("test")).drop("__rn")
+    from girder.operators import splits
+
+    return splits.chronological_split(keys, start, key, train, valid, tie=F.xxhash64(F.lit(seed), key))

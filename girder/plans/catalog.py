@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.operators import assist, evidence, lifecycle, measures, models, panel, portfolio, relations
+from girder.sources.staging import staged
 from girder.plans.views import eligible, outcomes, projects, scores, snapshots, sql, table
 from girder.streaming import events as streams
 
@@ -369,12 +370,17 @@ def _(spark, d):
     return rows.select("o_orderkey", panel.months_between_starts(F.lit("1995-03-31").cast("date"), F.date_format("o_orderdate", "yyyy-MM")).alias("months"))
 
 
-@query("sc43_text_quality", r"SELECT doc_id, round(CASE WHEN length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^0-9]', '', 'g')) / length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) ELSE 0 END, 6) AS numeric_density FROM documents")
+@query("sc43_text_quality", r"SELECT doc_id, round(CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[ \t\n\v\f\r]', '', 'g') <> '')) > 0 THEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r] {3,}[^ \t\n\v\f\r]'))) / len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[ \t\n\v\f\r]', '', 'g') <> '')) ELSE 0 END, 6) AS irregular_share, round(CASE WHEN length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^0-9]', '', 'g')) / length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) ELSE 0 END, 6) AS numeric_density FROM documents")
 def _(spark, d):
-    return rounded(table(spark, d, "documents").select("doc_id", evidence.text_quality(F.col("text"))["numeric_density"].alias("numeric_density")))
+    q = evidence.text_quality(F.col("text"))
+    return rounded(table(spark, d, "documents").select("doc_id", q["irregular_share"].alias("irregular_share"), q["numeric_density"].alias("numeric_density")))
 
 
-@query("sc44_ocr_class")
+_T = r"regexp_replace(coalesce(text, ''), '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')"
+_W = rf"list_filter(regexp_split_to_array({_T}, '[ \t\n\v\f\r]+'), lambda w: w <> '')"
+
+
+@query("sc44_ocr_class", rf"SELECT doc_id, CASE WHEN length({_T}) = 0 THEN 'empty_ocr_output' WHEN length(regexp_replace({_T}, '[^\p{{L}}]', '', 'g')) < 0.6 * length(regexp_replace({_T}, '[ \t\n\v\f\r]', '', 'g')) OR len(list_filter({_W}, lambda w: length(w) <= 2)) > 0.4 * len({_W}) THEN 'suspicious_text' WHEN length({_T}) < 30 THEN 'low_ocr_quality' END AS quality FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", evidence.ocr_class(F.col("text")).alias("quality"))
 
@@ -398,7 +404,7 @@ def _(spark, d):
 
 @query("sc41_chunks")
 def _(spark, d):
-    return evidence.chunk_documents(table(spark, d, "documents"), "doc_id").drop("chunk_text")
+    return evidence.chunk_documents(table(spark, d, "documents"), "doc_id").drop("chunk_text", "page")
 
 
 @query("sc36_claims")
@@ -409,9 +415,10 @@ def _(spark, d):
 @query("cmp12_flags")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), "text")
-    claims = evidence.extract_claims(docs).groupBy("claim_type", "num_value", "date_iso").agg(F.sort_array(F.collect_set("chunk_id")).alias("ids")).where("size(ids) > 1")
-    pairs = claims.select(F.get("ids", F.lit(0)).alias("chunk_a"), F.get("ids", F.lit(1)).alias("chunk_b")).distinct()
-    return evidence.detect(docs, pairs).select("flag_id", "chunk_a", "chunk_b", "claim_type", "description")
+    claims = staged(evidence.extract_claims(docs), "claims")
+    with_claims = evidence.hashed_embedding(docs.join(claims.select("chunk_id").distinct(), "chunk_id", "left_semi"), "text")
+    pairs = evidence.similar_pairs(with_claims, evidence.PAIRED, "chunk_id", "document_id")
+    return evidence.flags(evidence.compare_claims(pairs, claims)).select("flag_id", "chunk_a", "chunk_b", "claim_type", "description")
 
 
 @query("sc65_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -422,10 +429,10 @@ def _(spark, d):
 # ---------------------------------------------------------------- 2.10 to 2.13: models, checks, assistance, streams
 
 
-@query("ml11_linear_attribution", "SELECT l_orderkey, l_linenumber, feature, round(attribution, 4) AS attribution FROM (SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_tax']) AS feature, unnest([2.5 * (l_quantity - (SELECT avg(l_quantity) FROM lineitem)), -40.0 * (l_tax - (SELECT avg(l_tax) FROM lineitem))]) AS attribution FROM lineitem WHERE l_linenumber = 1)")
+@query("ml11_linear_attribution", "SELECT l_orderkey, l_linenumber, feature, round(attribution, 4) AS attribution FROM (SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_tax']) AS feature, unnest([2.5 * (l_quantity - (SELECT avg(l_quantity) FROM lineitem)), -40.0 * (l_tax - (SELECT avg(l_tax) FROM lineitem))]) AS attribution FROM lineitem)")
 def _(spark, d):
-    rows = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), "l_quantity", "l_tax", "l_linenumber")
-    out = models.linear_attribution(rows.where("l_linenumber = 1"), "k", {"l_quantity": 2.5, "l_tax": -40.0}, rows)
+    rows = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), "l_quantity", "l_tax")
+    out = models.linear_attribution(rows, "k", {"l_quantity": 2.5, "l_tax": -40.0}, rows)
     return out.select("k.l_orderkey", "k.l_linenumber", "feature", F.round("attribution", 4).alias("attribution"))
 
 
@@ -476,21 +483,26 @@ def _(spark, d):
     return portfolio.insights(with_project(outcomes(spark, d), spark, d), risk(spark, d))
 
 
+def _ntz(rows: DataFrame) -> DataFrame:
+    """Window starts as the tables' own kind of time."""
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def _(spark, d):
-    return streams.bucketed(table(spark, d, "events"))
+    return _ntz(streams.drained(streams.bucketed(streams.event_stream(spark, d)), "tumbling"))
 
 
 @query("stream_sliding", "SELECT start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 DAY]) AS start FROM events) GROUP BY 1, 2")
 def _(spark, d):
-    return streams.bucketed(table(spark, d, "events"), "2 days", "1 day")
+    return _ntz(streams.drained(streams.bucketed(streams.event_stream(spark, d), "2 days", "1 day"), "sliding"))
 
 
 @query("stream_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, g")
 def _(spark, d):
-    return streams.sessions(table(spark, d, "events"))
+    return _ntz(streams.drained(streams.sessions(streams.event_stream(spark, d)), "sessions"))
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def _(spark, d):
-    return streams.deduplicated(table(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+    return streams.drained(streams.deduplicated(streams.event_stream(spark, d), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "dedup", "append")

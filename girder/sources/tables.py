@@ -6,12 +6,17 @@ survive; the tables are written beside the old ones and counted before they take
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.operators.panel import first_known
 from girder.operators.relations import duplicates, orphans
 from girder.sources.schemas import CHUNK_FILE, PROJECT_COLUMNS, SNAPSHOT_FILE, names, require_columns
+from girder.sources.staging import staged
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -87,47 +92,101 @@ def write_partition(rows: DataFrame, path: str, by: str = "data_provenance") ->
 
 
 def load(spark: SparkSession, csv: str, folder: str) -> dict[str, int | bool]:
-    """Load a snapshot file into the project and snapshot tables and reconcile the counts."""
+    """Load a snapshot file into the project and snapshot tables and reconcile the counts.
+
+    The new rows are written and counted beside the tables first; only if the counts agree do they replace their partitions.
+    """
     raw = read_snapshots(spark, csv)
-    write_partition(projects_of(raw), f"{folder}/projects")
-    write_partition(snapshots_of(raw), f"{folder}/snapshots")
-    p, s = spark.read.parquet(f"{folder}/projects"), spark.read.parquet(f"{folder}/snapshots")
-    own = raw.select("data_provenance").distinct()
-    mine = lambda t: t.join(F.broadcast(own), "data_provenance", "left_semi")
-    out = {"rows": raw.count(), "projects": mine(p).count(), "snapshots": mine(s).count(), "orphans": orphans(s, p, "project_id").count(), "duplicates": duplicates(s, ["project_id", "reporting_month"]).count()}
+    p, s = staged(projects_of(raw), "projects"), staged(snapshots_of(raw), "snapshots")
+    out = {"rows": raw.count(), "projects": p.count(), "snapshots": s.count(), "orphans": orphans(s, p, "project_id").count(), "duplicates": duplicates(s, ["project_id", "reporting_month"]).count()}
     out["reconciled"] = out["rows"] == out["snapshots"] and not out["orphans"] and not out["duplicates"] and out["projects"] == raw.select("project_id").distinct().count()
+    if out["reconciled"]:
+        write_partition(p, f"{folder}/projects")
+        write_partition(s, f"{folder}/snapshots")
     return out
 
 
-def generate_panel(spark: SparkSession, projects: int, seed: int = 42, months: int = 24) -> DataFrame:
-    """A deterministic panel in the snapshot file's schema: draws are hashes of (seed, project, month), whatever the partitions."""
-    u = lambda *key: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.lit(k) if isinstance(k, str) else k for k in key]), 11).cast("double") / float(1 << 53)
-    p = spark.range(projects).withColumnRenamed("id", "k")
-    states = F.array(*[F.lit(s) for s in ("Gujarat", "Kerala", "Punjab", "Assam", "Odisha")])
-    types = F.array(*[F.lit(s) for s in ("Four Laning", "Six Laning", "Bypass")])
-    p = p.withColumns({"value": F.round(200 + 1800 * u("value", F.col("k")), 2), "duration": (12 + F.floor(u("dur", F.col("k")) * (months - 12))).cast("int"), "skill": 0.8 + 0.4 * u("skill", F.col("k")), "start": F.add_months(F.lit("2018-01-01").cast("date"), (u("start", F.col("k")) * 36).cast("int"))})
-    p = p.withColumns({"state": F.get(states, F.floor(u("state", F.col("k")) * 5).cast("int")), "ptype": F.get(types, F.floor(u("type", F.col("k")) * 3).cast("int")), "actual_months": F.ceil(F.col("duration") / F.col("skill")).cast("int")})
-    r = p.select("*", F.explode(F.sequence(F.lit(1), F.col("actual_months"))).alias("m"))
-    from girder.operators.panel import DELAY_FACTORS, s_curve
-
-    planned = F.round(s_curve(F.col("m").cast("double"), F.col("duration").cast("double")), 2)
-    actual = F.round(s_curve(F.col("m").cast("double"), F.col("actual_months").cast("double")), 2)
-    late = F.datediff(F.add_months("start", F.col("actual_months")), F.add_months("start", F.col("duration")))
-    over = F.round(25 * u("over", F.col("k")) - 5, 2)
-    cost = F.round(F.col("value") * actual / 100 * (1 + over / 100), 4)
-    joint = u("joint", F.col("k"), F.col("m")) >= 0.04
-    hole = lambda name, share, c: F.when(u(name, F.col("k"), F.col("m")) >= share, c)
-    cols = {
-        "project_id": F.format_string("HRI-%04d", F.col("k") + 1), "data_provenance": F.lit("SYNTHETIC"), "project_name": F.concat(F.lit("Project "), F.col("k").cast("string")), "highway_number": F.concat(F.lit("NH-"), (F.col("k") % 90 + 1).cast("string")),
-        "state": F.col("state"), "project_type": F.col("ptype"), "project_status": F.when(F.col("m") == F.col("actual_months"), "Completed").otherwise("In Progress"), "contractor": hole("contractor", 0.01, F.concat(F.lit("C"), (F.col("k") % 40).cast("string"))),
-        "reporting_month": F.date_format(F.add_months("start", F.col("m")), "yyyy-MM"), "planned_start_date": F.col("start"), "planned_completion_date": F.add_months("start", F.col("duration")), "planned_duration_months": F.col("duration"), "months_since_start": F.col("m"),
-        "project_length_km": F.round(10 + 90 * u("km", F.col("k")), 2), "original_contract_value_inr_cr": F.col("value"), "planned_physical_progress_pct": planned, "actual_physical_progress_pct": actual, "physical_progress_variance_pct": F.round(actual - planned, 2),
-        "planned_financial_progress_pct": planned, "actual_financial_progress_pct": F.when(joint, actual), "financial_progress_variance_pct": F.when(joint, F.round(actual - planned, 2)), "actual_expenditure_inr_cr": F.when(joint, cost), "expenditure_variance_pct": F.when(joint, F.round(actual - planned, 2)),
-        "planned_expenditure_inr_cr": F.round(F.col("value") * planned / 100, 4), "planned_cost_to_date_inr_cr": F.round(F.col("value") * planned / 100, 4), "actual_cost_to_date_inr_cr": cost, "material_cost_inr_cr": F.round(cost * 0.5, 4), "labour_cost_inr_cr": F.round(cost * 0.3, 4),
-        "equipment_cost_inr_cr": F.round(cost * 0.15, 4), "delay_related_cost_inr_cr": F.round(cost * 0.05, 4), "variation_cost_inr_cr": hole("variation", 0.03, F.lit(0.0)),
-    }
-    for i, c in enumerate(DELAY_FACTORS):
-        days = F.round(F.greatest(F.lit(0.0), 12 * u(c, F.col("k"), F.col("m")) - 6 - i % 3), 1)
-        cols[c] = hole(f"{c}?", 0.03, days) if c in ("equipment_unavailability_days", "weather_disruption_days") else days
-    cols |= {"contractor_productivity_factor": F.round(F.col("skill"), 4), "final_delay_days": late.cast("int"), "significant_delay": (late > 60).cast("int"), "final_cost_overrun_pct": over, "cost_overrun": (over > 10.0).cast("int")}
-    return r.select(*[cols[c].alias(c) for c in names(SNAPSHOT_FILE)])
+def validated(spark: SparkSession, csv: str, pct: list[str], amounts: list[str]) -> tuple[bool, DataFrame | None]:
+    """(whether no check fails, the report); without a readable file, (False, None)."""
+    from girder.operators.measures import panel_report
+
+    try:
+        rows = read_snapshots(spark, csv)
+    except AnalysisException:
+        return False, None
+    report = panel_report(rows, pct, amounts)
+    return report.where("status = 'FAIL'").isEmpty(), report
+
+
+# ---------------------------------------------------------------- chunks, indexes, caches and small artifacts
+
+
+def chunk_counts(chunks: DataFrame, included: Column) -> DataFrame:
+    """One row: how many chunks there are, are kept and are left out."""
+    return chunks.agg(F.count("*").alias("total"), F.count_if(F.coalesce(included, F.lit(False))).alias("included"), F.count_if(~F.coalesce(included, F.lit(False))).alias("excluded"))
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    chunks.write.mode("overwrite").parquet(path)
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """A small artifact (metrics, ranges) as one JSON text."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """The artifact, or None where there is none."""
+    try:
+        return json.loads(spark.read.text(path).first()[0])
+    except AnalysisException:
+        return None
+
+
+def table_digest(rows: DataFrame, columns: list[str]) -> str:
+    """A digest of a table's rows whatever their order: their number, and the sum and the parity of two row hashes."""
+    a, b = F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
+    r = rows.agg(F.count("*").alias("n"), F.sum(a.cast("decimal(38,0)")).cast("string").alias("s"), F.bit_xor(b).alias("x")).first()
+    return f"{r['n']}:{r['s']}:{r['x']}"
+
+
+def build_index(chunks: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], model: str, size: int, key: str = "chunk_id", text: str = "text", force: bool = False) -> bool:
+    """Embed every chunk into `path`, unless its chunks and model are those of the index that is there; whether it was built.
+
+    Repeated ids, lost chunks and vectors of another size are refused before anything is replaced.
+    """
+    spark = chunks.sparkSession
+    about = {"model": model, "size": size, "digest": table_digest(chunks, [key, text])}
+    there = read_json(spark, f"{path}/about")
+    if not force and there is not None and {k: there.get(k) for k in about} == about:
+        return False
+    if not duplicates(chunks, [key]).isEmpty():
+        raise ValueError(f"repeated {key}")
+    made = staged(embed(chunks), "index")
+    if made.count() != chunks.count():
+        raise ValueError("the index does not hold every chunk")
+    if not made.where((F.size("embedding") != size) | F.col("embedding").isNull()).isEmpty():
+        raise ValueError(f"vectors of another size than {size}")
+    made.write.mode("overwrite").parquet(f"{path}/vectors")
+    write_json(spark, f"{path}/about", about | {"count": made.count()})
+    return True
+
+
+def read_index(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """The vectors of an index; refused if it is of another model or does not hold as many vectors as it says."""
+    about = read_json(spark, f"{path}/about")
+    if about is None or about["model"] != model:
+        raise ValueError(f"no index of {model} in {path}")
+    rows = spark.read.parquet(f"{path}/vectors")
+    if rows.count() != about["count"]:
+        raise ValueError("the index has lost vectors")
+    return rows
+
+
+def write_query_cache(queries: list[DataFrame], embed: Callable[[DataFrame], DataFrame], path: str, text: str = "query") -> int:
+    """Embed the distinct texts of all query sets once, in order, into a cache table; their number."""
+    whole = queries[0].select(text)
+    for q in queries[1:]:
+        whole = whole.union(q.select(text))
+    embed(whole.distinct()).select(text, "embedding").orderBy(text).write.mode("overwrite").parquet(path)
+    return whole.sparkSession.read.parquet(path).count()

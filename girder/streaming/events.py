@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from girder.operators.lifecycle import judged_appends
+from girder.operators.panel import snapshot_features
+from girder.sources.staging import shared_folder, staged
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", schema=None) -> DataFrame:
-    """A stream over Parquet files of a folder."""
-    schema = schema or spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder)
+
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", schema=None) -> DataFrame:
+    """A stream over a Parquet table of a folder. Its times become timestamps in the session's zone, which watermarks need."""
+    there = spark.read.parquet(f"{folder}/{name}")
+    reader = spark.readStream.schema(schema or there.schema)
+    one_file = any(f.rstrip("/").endswith(f"/{name}") for f in there.inputFiles()[:1])
+    rows = reader.option("pathGlobFilter", name).parquet(folder) if one_file else reader.parquet(f"{folder}/{name}")
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"})
 
 
 def bucketed(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
@@ -45,3 +53,54 @@ def appending(rows: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
 def run_once(rows: DataFrame, path: str, checkpoint: str) -> None:
     """Drain what is there into a Parquet table (append mode), for tests and backfills."""
     rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """What a streaming query gives once everything there is has been read: its last result in complete mode, else all batches.
+
+    A batch is a folder of its own, so that a batch that runs again replaces itself.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/girder/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/out/batch=-1")
+    done = [-1]
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={k}")
+        done.append(k)
+
+    stream = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    out = out.where(F.col("batch") == max(done)) if mode == "complete" else out
+    return out.drop("batch")
+
+
+def guarded_appends(rows: DataFrame, projects: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of monthly rows to folder/snapshots under the guards of lifecycle.judged_appends.
+
+    Each micro-batch is judged against what earlier batches left: repeated months, rows after a project's end and the other
+    guards' refusals go to folder/refused with their reasons; late rows are taken. The features of every project that the batch
+    touched are computed anew over its whole history into folder/features, where the rows of the highest batch count. A batch that runs
+    again replaces its own folders.
+    """
+
+    def put(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{folder}/snapshots").where(F.col("batch") < k).drop("batch")
+        judged = staged(judged_appends(batch, before, projects), "judged")
+        good = judged.where("refused IS NULL").select(*[c for c in before.columns if c in judged.columns])
+        good.write.mode("overwrite").parquet(f"{folder}/snapshots/batch={k}")
+        judged.where("refused IS NOT NULL").write.mode("overwrite").parquet(f"{folder}/refused/batch={k}")
+        touched = good.select("project_id").distinct()
+        history = before.unionByName(good, allowMissingColumns=True).join(touched, "project_id", "left_semi")
+        starts = projects.select("project_id", "planned_duration_months")
+        snapshot_features(history.join(starts, "project_id", "left")).write.mode("overwrite").parquet(f"{folder}/features/batch={k}")
+
+    return appending(rows, put, checkpoint)
+
+
+def latest_features(features: DataFrame) -> DataFrame:
+    """The rows of folder/features that count: of each project those of its highest batch."""
+    last = features.groupBy("project_id").agg(F.max("batch").alias("batch"))
+    return features.join(last, ["project_id", "batch"])

@@ -10,13 +10,13 @@ def each(spark, messages, f):
 
 
 def test_intents_in_order(spark):
-    cases = {"What happens if cost rises by 5%?": "whatif", "How do I archive a project?": "support", "Why is HRI-0001 high risk?": "risk", "Which projects are late by state?": "portfolio", "Tell me about HRI-0001": "project", "What does the document say?": "document", "Hello": "unsupported", None: "unsupported"}
+    cases = {"What happens if cost rises by 5%?": "whatif", "How do I archive a project?": "support", "Why is PRJ-0001 high risk?": "risk", "Which projects are late by state?": "portfolio", "Tell me about PRJ-0001": "project", "What does the document say?": "document", "Hello": "unsupported", None: "unsupported"}
     assert each(spark, cases, assist.intent) == list(cases.values())
 
 
 def test_entities(spark):
-    a, b, c = each(spark, ["Why is hri-0012 in 2024-03 critical or high?", "statement of low flow", None], assist.entities)
-    assert tuple(a) == ("HRI-0012", "2024-03", "CRITICAL", None)
+    a, b, c = each(spark, ["Why is prj-0012 in 2024-03 critical or high?", "statement of low flow", None], assist.entities)
+    assert tuple(a) == ("PRJ-0012", "2024-03", "CRITICAL", None)
     assert tuple(b) == (None, None, "LOW", "state") and tuple(c) == (None, None, None, None)
 
 

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from girder.operators import lifecycle
 from girder.sources import tables
-from girder.sources.tables import generate_panel, projects_of, snapshots_of
+from girder.sources.tables import projects_of, snapshots_of
+from tests.panel_data import generate_panel
 
 
 @pytest.fixture(scope="module")
@@ -13,37 +14,37 @@ def store(spark):
 
 
 def test_ids_grow_past_four_digits(spark):
-    p = spark.createDataFrame([("HRI-USER-9999",), ("HRI-0001",)], "project_id string")
-    assert lifecycle.next_id(p) == "HRI-USER-10000"
-    assert lifecycle.next_id(p.where("project_id = 'HRI-0001'")) == "HRI-USER-0001"
+    p = spark.createDataFrame([("USER-9999",), ("PRJ-0001",)], "project_id string")
+    assert lifecycle.next_id(p) == "USER-10000"
+    assert lifecycle.next_id(p.where("project_id = 'PRJ-0001'")) == "USER-0001"
 
 
 def test_create_update_archive(store):
     p, _ = store
     p = lifecycle.created(p, {"project_name": "Mine", "state": "Goa"})
-    own = p.where("project_id = 'HRI-USER-0001'").first()
+    own = p.where("project_id = 'USER-0001'").first()
     assert own["data_provenance"] == lifecycle.USER and not own["is_archived"]
     with pytest.raises(ValueError):
-        lifecycle.created(p, {"project_id": "HRI-USER-0001"})
-    p = lifecycle.updated(p, "HRI-USER-0001", {"contractor": None, "state": "Kerala"})
-    assert p.where("project_id = 'HRI-USER-0001'").first()["state"] == "Kerala"
+        lifecycle.created(p, {"project_id": "USER-0001"})
+    p = lifecycle.updated(p, "USER-0001", {"contractor": None, "state": "Kerala"})
+    assert p.where("project_id = 'USER-0001'").first()["state"] == "Kerala"
     with pytest.raises(ValueError):
-        lifecycle.updated(p, "HRI-USER-0001", {"state": None})
-    once = lifecycle.archived(p, "HRI-USER-0001")
+        lifecycle.updated(p, "USER-0001", {"state": None})
+    once = lifecycle.archived(p, "USER-0001")
     assert once.where("is_archived").count() == 1
-    assert lifecycle.archived(once, "HRI-USER-0001", False).where("is_archived OR archived_at IS NOT NULL").count() == 0
+    assert lifecycle.archived(once, "USER-0001", False).where("is_archived OR archived_at IS NOT NULL").count() == 0
 
 
 def test_guards(spark, store):
     p, s = store
     p = lifecycle.created(p, {"project_name": "Mine", "state": "Goa"}).withColumn("planned_start_date", F.coalesce("planned_start_date", F.lit("2020-05-01").cast("date")))
     done = s.where("is_terminal_snapshot").first()
-    mine = "HRI-USER-0001"
+    mine = "USER-0001"
     cases = [
         (mine, "2020-06", "In Progress", None, None),
         (mine, "2020-04", "In Progress", None, "month before start"),
         (done["project_id"], "2031-01", "In Progress", None, "project has ended"),
-        ("HRI-404", "2020-06", "In Progress", None, "unknown project"),
+        ("PRJ-404", "2020-06", "In Progress", None, "unknown project"),
         (mine, "2020-07", "Completed", None, "outcomes missing"),
         (mine, "2020-08", "In Progress", 5, "outcomes before the end"),
         (mine, "2020-09", "Completed", 5, None),

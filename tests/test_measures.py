@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from girder.operators import measures
-from girder.sources.tables import generate_panel
+from tests.panel_data import generate_panel
 
 PCT = ["planned_physical_progress_pct", "actual_physical_progress_pct"]
 AMOUNTS = ["actual_cost_to_date_inr_cr", "planned_expenditure_inr_cr"]
@@ -33,7 +33,7 @@ FAULTS = {
     "cost_parts": ("material_cost_inr_cr", "material_cost_inr_cr * 2 + 1"),
     "dates": ("planned_completion_date", "planned_start_date"),
     "extremes": ("project_length_km", "501.0"),
-    "provenance": ("data_provenance", "if(project_id = 'HRI-0001', 'X', 'Y')"),
+    "provenance": ("data_provenance", "if(project_id = 'PRJ-0001', 'X', 'Y')"),
     "constant_targets": ("final_delay_days", "months_since_start"),
     "missing": ("contractor", "cast(null as string)"),
     "leakage": ("project_length_km", "final_cost_overrun_pct * 2"),

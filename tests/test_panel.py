@@ -47,7 +47,7 @@ def test_first_known_is_column_by_column(spark):
 
 
 def test_features_of_a_prefix_equal_the_full_file(spark):
-    from girder.sources.tables import generate_panel
+    from tests.panel_data import generate_panel
 
     rows = generate_panel(spark, 6, seed=7).cache()
     full = panel.snapshot_features(rows).where("reporting_month <= '2019-12'")
