@@ -12,6 +12,9 @@ nothing extra. Words and forms are counted over the texts' bytes in Arrow batche
 the driver, beyond that by the same rounds as joins and aggregates. Documents are sampled in place by a hash of their id: the
 result does not depend on partitions, and texts are not shuffled.
 
+Targets that the cells cannot meet (a value without tokens, or shares that exclude each other) are met as far as ROUNDS rounds go; the largest
+gap is warned of, and achieved() lists all.
+
 Defined cases: null source, language or text count as a value of their own, "" and no tokens; cells without tokens are kept
 whole; rows without an id are kept or not by the hash of null, all alike; repeated rows share their id's fate; an
 empty table gives an empty result; extra columns pass through.
@@ -19,6 +22,8 @@ empty table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +34,8 @@ from girder.llm.common import IS_SPACE, staged, text_buffer
 DIMENSIONS = ("source", "lang", "topic")
 CELL_LIMIT = 50_000
 ROUNDS, TOLERANCE = 50, 1e-6
+#: The largest distance from a target share that is not warned of.
+REPORTED = 1e-3
 
 
 #: Marks by class: 1 of tables, 2 of markup, 3 digits, 4 of dialogue; 5 are bytes inside a character.
@@ -126,6 +133,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return cells.sparkSession.createDataFrame(data, "source string, lang string, topic string, n long, w double")
 
 
+def achieved(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target, got, gap) of every value, the values that no cell has included: what raking came to."""
+    out = None
+    for d in DIMENSIONS:
+        got = raked.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("got"))
+        rows = targets[d].join(got, "value", "full_outer").select(F.lit(d).alias("dimension"), "value", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("got", F.lit(0.0)).alias("got"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("gap", F.abs(F.col("target") - F.col("got")))
+
+
 def calibrated(raked: DataFrame, budget: float) -> DataFrame:
     """Adds p: w scaled so that the expected tokens are `budget` of all, probabilities capped at 1.
 
@@ -154,7 +171,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__n").alias("n"))
     cells = staged(cells, "cells")
     targets = {d: tempered(cells, d, temper) for d in DIMENSIONS} | (targets or {})
-    p = calibrated(rake(cells, targets), budget)
+    raked = staged(rake(cells, targets), "weights")
+    worst = achieved(raked, targets).agg(F.max_by(F.struct("dimension", "value", "gap"), "gap").alias("w")).first()["w"]
+    if worst is not None and worst["gap"] > REPORTED and not raked.isEmpty():
+        warnings.warn(f"targets out of reach: {worst['dimension']} {worst['value']!r} is off by {worst['gap']:.4f}", stacklevel=2)
+    p = calibrated(raked, budget)
     p = staged(p.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), F.col("p").alias("__p")), "probabilities")
     if p.count() <= CELL_LIMIT:
         p = F.broadcast(p)

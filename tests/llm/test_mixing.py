@@ -59,3 +59,17 @@ def test_topics_and_tokens():
 
 def test_empty_table(spark):
     assert mixing.mix(table(spark, [])).collect() == []
+
+
+def test_unreachable_targets_are_warned_of(spark):
+    import pytest
+
+    docs = table(spark, [(k, prose(k, 50), "en" if k % 2 else "de", "s1" if k % 2 else "s2") for k in range(40)])
+    goal = lambda **share: spark.createDataFrame(list(share.items()), "value string, target double")
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.mix(docs, targets={"source": goal(s1=0.9, s2=0.1), "lang": goal(en=0.1, de=0.9)}).count()
+    with pytest.warns(UserWarning, match="'none' is off by 0.5000"):
+        mixing.mix(docs, targets={"source": goal(s1=0.25, s2=0.25, none=0.5)}).count()
+    cells = spark.createDataFrame([("a", "x", "t", 30), ("a", "y", "t", 10), ("b", "x", "t", 20)], "source string, lang string, topic string, n long")
+    targets = {"source": goal(a=0.5, b=0.5), "lang": goal(x=0.8, y=0.2), "topic": goal(t=1.0)}
+    assert mixing.achieved(mixing.rake(cells, targets), targets).agg({"gap": "max"}).first()[0] < 1e-5
