@@ -7,6 +7,11 @@ to buckets by their anchor's hash. Each task first merges its own equal records:
 one is settled on the spot, so a passage that a third of the corpus holds sends one record a batch, not one a document.
 Records travel compressed, a blob for each bucket.
 
+Hot anchors, those of more records than a bucket should hold, do not go to one bucket: what is left of their records is cut
+into its windows, equal windows of a batch are merged likewise, and each goes to the bucket of its own hash, where equal windows
+still meet. They are found in a sample of the documents (one in SEEN by a hash, and all long ones); it decides only which bucket
+compares what, never what is removed. At most 2**20 anchors can be hot, so their list may go to every task.
+
 Sorting. In a bucket, suffixes (the windows' starts) are put in order by deep-shallow sorting. Multikey quicksort, with
 8 bytes for a character and all groups refined at once, orders them to SHALLOW bytes. The groups left, which have long common
 prefixes, are ordered by blind tries: each group's first suffix is its trie's path, every other suffix is placed by
@@ -38,6 +43,8 @@ SHALLOW = 16
 BLOCK = 1 << 20
 #: Bytes of records in a bucket, and of text that a task gathers before it sends.
 BUCKET_BYTES, FLUSH_BYTES = 10 << 20, 8 << 20
+#: Records of one anchor that make it hot; one document in SEEN and every one over LONG bytes is looked at to find such anchors.
+HOT, SEEN, LONG = BUCKET_BYTES // (SPAN + REACH), 64, 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 # ---------------------------------------------------------------- records
@@ -87,42 +94,60 @@ def block_records(buf: np.ndarray, off: np.ndarray):
     return first, count, place[first] - first, least[first] >> np.uint64(24)
 
 
+def blocks(buf: np.ndarray, off: np.ndarray):
+    """(place, bytes, bounds, first text) of the overlapping blocks of a buffer of texts; bounds are those of its texts in it."""
+    for at in range(0, max(len(buf), 1), BLOCK):
+        part = buf[at : at + BLOCK + SPAN - 1]
+        lo = int(np.searchsorted(off, at, side="right")) - 1
+        hi = int(np.searchsorted(off, at + len(part), side="left"))
+        own = np.clip(off[lo : hi + 1] - at, 0, len(part))
+        own[-1] = len(part)
+        yield at, part, own, lo
+
+
+def record_keys(part: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Equal records, equal keys."""
+    return range_hash(part, first, first + count + (SPAN - 1)) ^ mix(h + anchor.astype(np.uint64))
+
+
+def window_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the SPAN bytes from each place on."""
+    w, key = _words(data), np.zeros(len(at), np.uint64)
+    for depth in (*range(0, SPAN - 8, 8), SPAN - 8):
+        key = mix(key + w[at + depth].astype(np.uint64))
+    return key
+
+
 class Sender:
     """Gathers one task's records, settles what it can, and packs the rest for their buckets.
 
     Records are places in the gathered texts; their bytes are copied only when their blob is packed.
     """
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.texts, self.size = buckets, [], [], 0
+    def __init__(self, buckets: int, hot: np.ndarray = np.zeros(0, np.uint64)):
+        self.buckets, self.hot, self.parts, self.texts, self.size = buckets, hot, [], [], 0
 
     def add(self, ids: np.ndarray, buf: np.ndarray, off: np.ndarray, tags: np.ndarray | None = None) -> None:
         tags = np.zeros(len(ids), np.int32) if tags is None else tags
-        for at in range(0, max(len(buf), 1), BLOCK):
-            part = buf[at : at + BLOCK + SPAN - 1]
-            lo = int(np.searchsorted(off, at, side="right")) - 1
-            hi = int(np.searchsorted(off, at + len(part), side="left"))
-            own = np.clip(off[lo : hi + 1] - at, 0, len(part))
-            own[-1] = len(part)
+        for at, part, own, lo in blocks(buf, off):
             first, count, anchor, h = block_records(part, own)
             doc = lo + np.searchsorted(own, first, side="right") - 1
-            key = range_hash(part, first, first + count + (SPAN - 1)) ^ mix(h + anchor.astype(np.uint64))
+            key = record_keys(part, first, count, anchor, h)
             self.parts.append((ids[doc], tags[doc], (first + at - off[doc]).astype(np.int32), count.astype(np.uint8), anchor.astype(np.uint8), h, key, first + (self.size + at)))
         self.texts.append(buf)
         self.size += len(buf)
 
-    def flush(self):
-        """Settled intervals (id, tag, start, end), and (bucket, blob) pairs."""
-        ids, tags, start, count, anchor, h, key, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        data = np.concatenate(self.texts)
-        self.parts, self.texts, self.size = [], [], 0
+    @staticmethod
+    def behind(data: np.ndarray, rec: tuple) -> np.ndarray:
+        """Whether each record equals one of a document with a smaller id."""
+        ids, _, start, count, anchor, _, key, at = rec
         size = count.astype(np.int64) + SPAN - 1
         order = np.lexsort((start, ids, key))
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of each sorted record: the least document's first
-        behind = ids[order] > ids[head]
-        later, lead = order[behind], head[behind]
+        follows = ids[order] > ids[head]
+        later, lead = order[follows], head[follows]
         same = (size[later] == size[lead]) & (anchor[later] == anchor[lead])
         later, lead = later[same], lead[same]
         wrong = np.zeros(len(later), bool)
@@ -131,17 +156,44 @@ class Sender:
             differ = gather(data, at[l], size[l]) != gather(data, at[r], size[r])
             if differ.any():
                 wrong[k + np.repeat(np.arange(len(l)), size[l])[differ]] = True
-        later = later[~wrong]
-        settled = (ids[later], tags[later], start[later], start[later] + size[later].astype(np.int32))
-        left = np.ones(len(ids), bool)
-        left[later] = False
+        out = np.zeros(len(ids), bool)
+        out[later[~wrong]] = True
+        return out
+
+    @staticmethod
+    def windows(data: np.ndarray, rec: tuple) -> tuple:
+        """The windows of records, as records of one window each that are dealt by their own hash."""
+        ids, tags, start, count, anchor, _, _, at = rec
+        n = count.astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        place = at[owner] + step
+        key = window_keys(data, place)
+        return ids[owner], tags[owner], (start[owner] + step).astype(np.int32), np.ones(len(owner), np.uint8), (anchor[owner] - step).astype(np.uint8), key, key, place
+
+    def flush(self):
+        """Settled intervals (id, tag, start, end), and (bucket, blob) pairs."""
+        rec = tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))
+        data = np.concatenate(self.texts)
+        self.parts, self.texts, self.size = [], [], 0
+        later = self.behind(data, rec)
+        settled, rec = [[x[later] for x in rec[:4]]], tuple(x[~later] for x in rec)
+        hot = np.isin(rec[5], self.hot)
+        if hot.any():
+            cut = self.windows(data, tuple(x[hot] for x in rec))
+            later = self.behind(data, cut)
+            settled.append([x[later] for x in cut[:4]])
+            rec = tuple(np.concatenate([x[~hot], y[~later]]) for x, y in zip(rec, cut, strict=True))
+        ids, tags, start, count = (np.concatenate(x) for x in zip(*settled, strict=True))
+        settled = (ids, tags, start, start + (count.astype(np.int32) + (SPAN - 1)))
+        ids, tags, start, count, anchor, h, _, at = rec
+        size = count.astype(np.int64) + SPAN - 1
         bucket = (mix(h) % np.uint64(self.buckets)).astype(np.int64)
-        rest = np.flatnonzero(left)
-        rest = rest[np.lexsort((start[rest], tags[rest], ids[rest], bucket[rest]))]
-        bounds = np.flatnonzero(np.diff(bucket[rest], prepend=-1))
+        order = np.lexsort((start, tags, ids, bucket))
+        bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         blobs = []
-        for lo, hi in zip(bounds, [*bounds[1:], len(rest)], strict=True):
-            r = rest[lo:hi]
+        for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
+            r = order[lo:hi]
             blobs.append((int(bucket[r[0]]), pack(ids[r], tags[r], start[r], count[r], anchor[r], gather(data, at[r], size[r]))))
         return settled, blobs
 
@@ -302,17 +354,43 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- the operator
 
 
+def hot_anchors(rows: DataFrame, total: int) -> np.ndarray:
+    """Hashes of the anchors that have more records than a bucket should hold; rows: id, tag, text of `total` bytes."""
+    records = 2 * total // (REACH + 1)
+    limit = max(HOT, records >> 20)
+    if records <= limit:
+        return np.zeros(0, np.uint64)
+    long = F.octet_length("text") > LONG
+    some = rows.select("text", F.when(long, 1).otherwise(SEEN).alias("weight")).where(long | (F.xxhash64("id", "tag") % SEEN == 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(anchor, weighted number of its different records) of each block."""
+        for batch in batches:
+            for b in pieces(batch, "text", BLOCK):
+                weights = b.column("weight").to_numpy()
+                for _, part, own, lo in blocks(*text_buffer(b.column("text"))):
+                    first, windows, anchor, h = block_records(part, own)
+                    at = np.unique(record_keys(part, first, windows, anchor, h), return_index=True)[1]
+                    which, group = np.unique(h[at], return_inverse=True)
+                    n = np.bincount(group, weights[lo + np.searchsorted(own, first[at], side="right") - 1], len(which)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    counted = some.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    return np.sort(np.array([r["anchor"] for r in counted.select("anchor").collect()], np.uint64))
+
+
 def removed_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, __tag, start, end): byte intervals that each document loses; they may overlap. __tag is as in with_tag."""
     docs = docs if "__tag" in docs.columns else with_tag(docs, id_col, text_col)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("__tag").alias("tag"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * shuffle_width(docs.sparkSession), 4 * total // BUCKET_BYTES)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(rows, total))
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blobs for the buckets (id null), and settled intervals in buckets of their own (-1 - id mod buckets, blob null)."""
-        sender = Sender(buckets)
+        sender = Sender(buckets, hot.value)
 
         def out():
             (ids, tags, start, end), blobs = sender.flush()

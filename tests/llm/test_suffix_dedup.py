@@ -78,3 +78,37 @@ def test_rows_of_one_id_lose_their_own_bytes(spark):
 
 def test_empty_table(spark):
     assert sd.remove_repeats(table(spark, [])).collect() == []
+
+
+def hot_rows():
+    """A line of 60 bytes in 400 texts between words of their own, and other passages that some share."""
+    line, shared = "all rights are reserved by the makers of this page since 1990", prose(8, 30)
+    rows = [(k, f"{prose(3000 + k, 12)} {line} {prose(7000 + k, 12)}" + (f" {shared}" if k % 9 == 0 else ""), "en", "s") for k in range(400)]
+    return rows + [(900, line * 20, "en", "s"), (901, None, "en", "s"), (5, f"x{line}", "en", "s"), (5, f"x{line}", "en", "s")]
+
+
+def test_hot_anchors_are_dealt_by_window(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 60)
+    monkeypatch.setattr(sd, "SEEN", 1)
+    rows = hot_rows()
+    docs = table(spark, rows).selectExpr("doc_id AS id", "0 AS tag", "text")
+    assert len(sd.hot_anchors(docs, sum(len(t or "") for _, t, *_ in rows))) > 0
+    assert got(spark, rows) == brute(rows)
+
+
+def test_no_bucket_holds_all_records_of_a_hot_anchor():
+    ids = np.array([i for i, t, *_ in hot_rows()[:400]])
+    texts = [t.encode() for _, t, *_ in hot_rows()[:400]]
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    h = sd.block_records(buf, off)[3]
+    which, n = np.unique(h, return_counts=True)
+    assert n.max() > 300
+    largest = []
+    for hot in (which[:0], which[n > 60]):
+        sender = sd.Sender(64, hot)
+        sender.add(ids, buf, off)
+        sizes = np.zeros(64)
+        for bucket, blob in sender.flush()[1]:
+            sizes[bucket] += len(sd.unpack(blob)[0])
+        largest.append(sizes.max() / np.median(sizes))
+    assert largest[1] < 2 < largest[0]
