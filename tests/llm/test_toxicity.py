@@ -76,3 +76,28 @@ def test_rows_do_not_depend_on_their_batch():
     together = toxicity.text_logits(p, *text_buffer(pa.array(texts, pa.string())))
     alone = [toxicity.text_logits(p, *text_buffer(pa.array([t], pa.string())))[0] for t in texts]
     assert np.allclose(together, alone, atol=1e-4)
+
+
+def test_every_character_of_a_word_counts():
+    p = toxicity.fresh()
+    word = "abcdefghijklmnop"
+    texts = [word] + [word[:k] + "z" + word[k + 1 :] for k in range(len(word))]
+    ids, _, vocab = toxicity.word_ids(*text_buffer(pa.array(texts, pa.string())))
+    chars = toxicity.characters(p, vocab)[ids[:, -1]]
+    assert all(np.abs(chars[k] - chars[0]).max() > 1e-3 for k in range(1, len(texts)))
+    grams, bounds = vocab
+    for k, t in enumerate(texts):
+        rows = grams[bounds[ids[k, -1]] : bounds[ids[k, -1] + 1]]
+        assert len(rows) == len(t)
+        assert np.allclose(chars[k], p["emb_gram"][rows].sum(axis=0) / len(t) ** 0.5, atol=1e-6)
+
+
+def test_training_texts_are_bounded_by_bytes(spark, monkeypatch):
+    rows, labels = planted(60)
+    rows += [(3, "least text of its id", "en", "s")]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, prior: seen.append((texts, y)) or {"share": 0.0})
+    toxicity.fit(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample_bytes=3000)
+    texts, y = seen[0]
+    assert all(0 < sum(len(t.encode()) for t, own in zip(texts, y, strict=True) if own == k) <= 3000 for k in (0, 1))
+    assert set(texts) <= {t for _, t, _, _ in rows}
