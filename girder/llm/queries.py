@@ -101,7 +101,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lang")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.periodic_runs import periodic_runs, repeated_tail
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("text"), F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("runs", "collapsed")]
+    return periodic_runs(docs).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+c AS (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY lang, term HAVING count(*) >= 3),
+kl AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang),
+cs AS (SELECT c.lang, c.source, c.term, sum(c.n) AS n FROM c JOIN k ON c.lang = k.lang AND c.term = k.term GROUP BY ALL),
+gt AS (SELECT lang, source, sum(n) AS total FROM cs GROUP BY lang, source),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(cs.n, 0) AS n,
+                 1 + (1000000000::HUGEINT * (coalesce(cs.n, 0) + 1)) // (coalesce(gt.total, 0) + kl.v) AS p,
+                 1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (kl.total + kl.v) AS w
+          FROM g JOIN k ON g.lang = k.lang JOIN kl ON g.lang = kl.lang LEFT JOIN gt ON g.lang = gt.lang AND g.source = gt.source
+          LEFT JOIN cs ON g.lang = cs.lang AND g.source = cs.source AND k.term = cs.term),
+ps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f
+       FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(ps.f, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN ps ON a.lang = ps.lang AND a.source = ps.source AND b.source = ps.item
+      UNION ALL SELECT lang, source, 'term', term, (p - w) * (p - w) // w FROM dense WHERE n > 0 AND p > w)
+SELECT * FROM (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                      CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 200""",
     "op3_decontaminate": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
@@ -174,4 +210,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }
