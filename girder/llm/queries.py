@@ -101,6 +101,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lang")
 
 
+def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from girder.llm.recurrent_lm import remainder, score_texts
+
+    held_out = remainder("doc_id", 5) == 1
+    rows = score_texts(table(spark, sf_dir, "documents"), trains=~held_out)
+    return rows.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from girder.llm.periodic_runs import periodic_runs, repeated_tail
 
@@ -210,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_recurrent_lm": op11_recurrent_lm,
     "op12_source_divergence": op12_source_divergence,
     "op13_periodic_runs": op13_periodic_runs,
 }
