@@ -39,9 +39,11 @@ def _name(column: str, alias: str) -> Column:
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + terms)), whole at any size of n."""
-    above, below = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), (total + terms).cast("decimal(20,0)")
-    return (F.call_function("div", above, below) + 1).cast("long")
+    """1 + floor(SCALE * (n + 1) / (total + terms)), whole at any size of n: in longs where the product fits, else in decimals."""
+    scale = F.lit(SCALE).cast("long")
+    above, below = (n + 1).cast("decimal(20,0)") * scale.cast("decimal(10,0)"), (total + terms).cast("decimal(20,0)")
+    fits = n < (1 << 63) // SCALE - 1
+    return F.when(fits, F.call_function("div", F.when(fits, n + 1).otherwise(0) * scale, total + terms)).otherwise(F.call_function("div", above, below)) + 1
 
 
 def _stray(p: Column, q: Column) -> Column:
@@ -54,21 +56,24 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     counts = staged(term_counts(docs, text_col, lang_col, source_col), "terms")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("d")).where(F.col("d") >= min_docs).drop("d")
     kept = staged(kept, "kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    langs = staged(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")), "langs")
     totals = counts.join(kept.select("lang", "term"), ["lang", "term"]).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sized = groups.join(totals, ["lang", "source"], "left").join(langs, "lang").fillna(0, "total")
     sized = staged(sized, "sized").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     wide = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(sized, ["lang", "salt"]).drop("salt")
     wide = wide.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, "n")
-    p, whole = _share(F.col("n"), F.col("total"), F.col("v")), _share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
-    dense = staged(wide.select("lang", "term", "source", "n", p.alias("p"), whole.alias("whole")), "dense")
+    dense = staged(wide.select("lang", "term", "source", "n", "lang_n", _share(F.col("n"), F.col("total"), F.col("v")).alias("p")), "dense")
 
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = dense.join(other, ["lang", "term"]).where(F.col("source") != F.col("item")).select("lang", "source", "item", _stray(F.col("p"), F.col("q")).alias("f"))
+    # two sources meet once for each term and give both directions
+    p, q = F.col("p"), F.col("q")
+    other = dense.select("lang", "term", F.col("source").alias("item"), p.alias("q"))
+    met = dense.join(other, ["lang", "term"]).where(F.col("source") < F.col("item")).groupBy("lang", "source", "item").agg(F.sum(_stray(p, q)).alias("there"), F.sum(_stray(q, p)).alias("back"))
+    met = met.select("lang", F.inline(F.array(F.struct("source", "item", F.col("there").alias("f")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("f")))))
     every = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where(F.col("source") != F.col("item")).select("lang", "source", "item", F.lit(0).cast("long").alias("f"))
-    pairs = met.groupBy("lang", "source", "item").agg(F.sum("f").alias("f")).unionByName(every).groupBy("lang", "source", "item").agg(F.sum("f").alias("value"))
-    terms = dense.where((F.col("n") > 0) & (F.col("p") > F.col("whole"))).select("lang", "source", F.col("term").alias("item"), _stray(F.col("p"), F.col("whole")).alias("value"))
+    pairs = met.unionByName(every).groupBy("lang", "source", "item").agg(F.sum("f").alias("value"))
+    more = dense.where("n > 0").join(langs, "lang").withColumn("whole", _share(F.col("lang_n"), F.col("lang_total"), F.col("v")))
+    terms = more.where("p > whole").select("lang", "source", F.col("term").alias("item"), _stray(p, F.col("whole")).alias("value"))
 
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     ranked = pairs.withColumn("rank", place).withColumn("part", F.lit("pair"))
