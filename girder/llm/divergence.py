@@ -6,7 +6,7 @@ p = 1 + floor(SCALE * (count + 1) / (N + V)), with N the sum of its counts of ke
 f = floor((p - q) * (p - q) / q), p the group's. All numbers are whole, so nothing depends on the order of sums.
 
 The plan is relational: terms are exploded beside each text and counted by group with a partial aggregation before the only shuffle of
-that size; the counted terms are written once. Kept terms meet the groups of their language (dealt by language and a salt, so that one
+that size; windows over the counted terms find the kept ones, which are written once. Kept terms meet the groups of their language (dealt by language and a salt, so that one
 language is many tasks), which fills in zeros; the filled table meets itself on language and term, and sums and ranks follow.
 Ranks to `top` are cut in each task before rows are sent.
 
@@ -53,16 +53,16 @@ def _stray(p: Column, q: Column) -> Column:
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` ranks the other sources, part `term` the terms a group has more of than its language."""
     groups = staged(docs.select(_name(lang_col, "lang"), _name(source_col, "source")).distinct(), "groups")
-    counts = staged(term_counts(docs, text_col, lang_col, source_col), "terms")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("d")).where(F.col("d") >= min_docs).drop("d")
-    kept = staged(kept, "kept")
-    langs = staged(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")), "langs")
-    totals = counts.join(kept.select("lang", "term"), ["lang", "term"]).groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    sized = groups.join(totals, ["lang", "source"], "left").join(langs, "lang").fillna(0, "total")
+    term = Window.partitionBy("lang", "term")
+    held = term_counts(docs, text_col, lang_col, source_col).withColumns({"lang_n": F.sum("n").over(term), "d": F.sum("n_docs").over(term), "first": F.row_number().over(term.orderBy("source")) == 1})
+    counts = staged(held.where(F.col("d") >= min_docs).select("lang", "source", "term", "n", "lang_n", "first"), "kept")
+    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.when(F.col("first"), 1)).alias("v"))
+    langs = staged(totals.groupBy("lang").agg(F.sum("v").alias("v"), F.sum("total").alias("lang_total")), "langs")
+    sized = groups.join(totals.drop("v"), ["lang", "source"], "left").join(langs, "lang").fillna(0, "total")
     sized = staged(sized, "sized").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    wide = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(sized, ["lang", "salt"]).drop("salt")
-    wide = wide.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, "n")
+    kept = counts.where("first").select("lang", "term", "lang_n", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt"))
+    wide = kept.join(sized, ["lang", "salt"]).drop("salt").join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, "n")
     dense = staged(wide.select("lang", "term", "source", "n", "lang_n", _share(F.col("n"), F.col("total"), F.col("v")).alias("p")), "dense")
 
     # two sources meet once for each term and give both directions
