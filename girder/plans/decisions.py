@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators import assist, decisions, measures, models, panel, portfolio, relations, scoring, splits
+from girder.operators import assist, decisions, explain, measures, models, panel, portfolio, relations, scoring, splits
 from girder.operators.order import numbered
 from girder.plans.catalog import PAIR_THRESHOLD, _PAIRS, _pairs, _segments, query, risk, rounded, with_project
 from girder.plans.views import eligible, outcomes, projects, scores, snapshots, table
@@ -444,3 +444,14 @@ def _(spark, d):
     attributions = models.linear_attribution(rows, "pid", WEIGHTS["delay"], rows)
     _, local = scoring.explained(attributions, "pid", risk(spark, d).select("pid", "score"), 2)
     return local.select("pid", "example", "feature", "rank", "direction")
+
+
+@query("ml12_tree_attribution")
+def _(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(table(spark, d, "lineitem"))
+    model = GBTRegressor(labelCol="l_extendedprice", maxIter=8, maxDepth=4, seed=5).fit(rows.where("l_extendedprice IS NOT NULL"))
+    return explain.tree_attributions(rows, ["l_orderkey", "l_linenumber"], "features", names, model)
