@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators import assist, decisions, explain, measures, models, panel, portfolio, relations, scoring, splits
+from girder.operators import assist, cells, decisions, explain, measures, models, panel, portfolio, relations, scoring, splits
 from girder.operators.order import numbered
 from girder.plans.catalog import PAIR_THRESHOLD, _PAIRS, _pairs, _segments, query, risk, rounded, with_project
 from girder.plans.views import eligible, outcomes, projects, scores, snapshots, table
+from girder.sources.staging import shared_folder
 
 # ---------------------------------------------------------------- features and splits
 
@@ -455,3 +458,19 @@ def _(spark, d):
     rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(table(spark, d, "lineitem"))
     model = GBTRegressor(labelCol="l_extendedprice", maxIter=8, maxDepth=4, seed=5).fit(rows.where("l_extendedprice IS NOT NULL"))
     return explain.tree_attributions(rows, ["l_orderkey", "l_linenumber"], "features", names, model)
+
+
+@query("jn9_cell_work")
+def _(spark, d):
+    return cells.similar_pairs(table(spark, d, "embeddings"), PAIR_THRESHOLD)[1]
+
+
+_SEARCHED = "SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.35 WHERE q.vec_id % 100 = 0) WHERE rank <= 10"
+
+
+@query("snk5_index_search", _SEARCHED)
+def _(spark, d):
+    rows, path = table(spark, d, "embeddings"), f"{shared_folder(spark)}/girder/index-{uuid.uuid4().hex}"
+    cells.write_index(rows, path, "given")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return cells.search(cells.open_index(spark, path, "given"), queries, 10).select("query_id", "vec_id", "rank")
