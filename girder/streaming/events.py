@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -82,11 +84,13 @@ def guarded_appends(rows: DataFrame, projects: DataFrame, folder: str, checkpoin
     Each micro-batch is judged against what earlier batches left: repeated months, rows after a project's end and the other
     guards' refusals go to folder/refused with their reasons; late rows are taken. The features of every project that the batch
     touched are computed anew over its whole history into folder/features, where the rows of the highest batch count. A batch that runs
-    again replaces its own folders.
+    again replaces its own folders. Batches go on from what the folder holds when a checkpoint is first used, so a fresh checkpoint, of the same name
+    too, adds to earlier batches and is judged against them. One stream at a time writes to a folder.
     """
 
     def put(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
+        k += _first_batch(spark, folder, checkpoint)
         before = spark.read.parquet(f"{folder}/snapshots").where(F.col("batch") < k).drop("batch")
         judged = staged(judged_appends(batch, before, projects), "judged")
         good = judged.where("refused IS NULL").select(*[c for c in before.columns if c in judged.columns])
@@ -100,6 +104,19 @@ def guarded_appends(rows: DataFrame, projects: DataFrame, folder: str, checkpoin
     return appending(rows, put, checkpoint)
 
 
+def _first_batch(spark: SparkSession, folder: str, checkpoint: str) -> int:
+    """The number of a checkpoint's batch 0, kept in folder/streams under the id that Spark gave the checkpoint."""
+    own = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+    try:
+        known = spark.read.schema("id string, first int").parquet(f"{folder}/streams").where(F.col("id") == own).agg(F.min("first")).first()[0]
+    except AnalysisException:  # no stream has written here yet
+        known = None
+    if known is None:
+        known = spark.read.parquet(f"{folder}/snapshots").agg(F.coalesce(F.max("batch"), F.lit(-1)) + 1).first()[0]
+        spark.createDataFrame([(own, known)], "id string, first int").coalesce(1).write.mode("append").parquet(f"{folder}/streams")
+    return known
+
+
 def latest_features(features: DataFrame) -> DataFrame:
     """The rows of folder/features that count: of each project those of its highest batch."""
     last = features.groupBy("project_id").agg(F.max("batch").alias("batch"))

@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,11 +97,13 @@ def test_monthly_appends_are_guarded_on_a_stream(spark, tmp_path):
         events.guarded_appends(stream.withColumn("__k", F.lit(0)).drop("__k"), projects, f"{store}", f"{tmp_path}/cp-{part}").awaitTermination()
         if part == "a":
             first = spark.read.parquet(f"{store}/snapshots").count()
-            (tmp_path / "store" / "snapshots" / "batch=0").rename(tmp_path / "store" / "snapshots" / "batch=-2")
     assert first == base.count() - 1 + new.count()
     refused = spark.read.parquet(f"{store}/refused").where("refused IS NOT NULL").groupBy("refused").count().collect()
     assert {r["refused"]: r["count"] for r in refused} == {"month exists": 2, "project has ended": 1}
     assert spark.read.parquet(f"{store}/snapshots").count() == whole.count() - 2
+    shutil.rmtree(tmp_path / "cp-b")  # a fresh checkpoint of the same name reads everything again: all is refused, nothing is lost
+    events.guarded_appends(spark.readStream.schema(new.schema).parquet(f"{feed}/b"), projects, store, f"{tmp_path}/cp-b").awaitTermination()
+    assert spark.read.parquet(f"{store}/snapshots").count() == whole.count() - 2
     assert events.latest_features(spark.read.parquet(f"{store}/features")).groupBy("project_id", "reporting_month").count().where("count > 1").isEmpty()
 
 
