@@ -13,8 +13,8 @@ The boundaries are the ends of the documents in ids; Elias-Fano keeps them in ab
 2 + log2(ids / documents) bits each, and select() finds one, or a run of them, from a sample and a short scan. Reading asks
 select() for the bounds of READ documents at a time, and documents_at() for those of single documents.
 
-Plan: one range shuffle of (id, text), sorted inside partitions; each partition encodes and writes shards
-of bounded size. A file is written under a name of its attempt and then moved to its final name, so
+Plan: one range shuffle by (id, hash of the text), sorted by them and the text inside partitions, so that rows of one id have one order
+and a hot id spreads over partitions; each partition encodes and writes shards of bounded size. A file is written under a name of its attempt and then moved to its final name, so
 a task that runs again after a lost executor leaves the same files. Reading uses Spark's binaryFile source.
 
 Defined cases: a null text is an empty text (only the end id); rows without an id come first, with id null kept
@@ -23,6 +23,7 @@ as such in the manifest as the smallest possible id; repeated rows are all writt
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -78,8 +79,20 @@ class Known(dict):
         return ids
 
 
+def _cut_here(path: str) -> bool:
+    """Whether a tokenizer file cuts texts as _CUT does: plain byte-level BPE, nothing normalised, prefixed, truncated or left to chance."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    cut, model = made.get("pre_tokenizer") or {}, made["model"]
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space", True) or not cut.get("use_regex", True):
+        return False
+    return model.get("type", "BPE") == "BPE" and not any((made.get("normalizer"), made.get("truncation"), made.get("padding"), model.get("dropout")))
+
+
 class Encoder:
-    """Encodes texts with a byte-level BPE file, asking the library for each distinct pre-token once.
+    """Encodes texts with a tokenizer file. With plain byte-level BPE the library is asked for each distinct pre-token once.
+
+    Any other kind of file gives all its texts to the library whole.
 
     plain_special: special tokens in a text are encoded as ordinary characters. The library's own default is False.
     """
@@ -92,9 +105,10 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_special and t.special)]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.known = Known(self.tokenizer.model, cache, longest)
+        self.cut_here = _cut_here(path)
 
     def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text) or (self.added is not None and self.added.search(text)):
+        if not self.cut_here or not _PLAIN.fullmatch(text) or (self.added is not None and self.added.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.frombuffer(b"".join(map(self.known.__getitem__, _CUT.findall(text))), np.uint32)
 
@@ -227,17 +241,20 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id")
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    rows = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark", "text").select("id", "text")
     return rows.mapInArrow(write, "file string, part int, shard int, documents long, ids long")
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shard files.
 
-    The manifest has one row for each shard (megabytes of ids), so its running sum is small.
+    A shard's base is the sum of the parts before (one number for each writing task) and of the shards before it in its part.
     """
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))
+    earlier = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", earlier(Window.orderBy("part")).alias("before"))
+    bases = manifest.select("file", "part", earlier(Window.partitionBy("part").orderBy("shard")).alias("inner"))
+    bases = bases.join(parts, "part").select("file", (F.col("before") + F.col("inner")).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gtok").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 

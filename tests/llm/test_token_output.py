@@ -64,6 +64,43 @@ def test_single_documents_are_read_by_select(spark, library):
     assert got == {i: [*library.encode(by_id[i] or "", add_special_tokens=False).ids, 0] for i in (3, 500, 503, 21)}
 
 
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(7, f"text {k % 13} {'x' * (k % 5)}", "en", "s") for k in range(40)] + [(None, f"none {k}", "en", "s") for k in range(9)]
+    found = set()
+    for k, width in enumerate((1, 3, 8)):
+        folder = fresh_path(spark, "tokens")
+        dealt = table(spark, rows[k * 7 :] + rows[: k * 7]).repartition(width)
+        manifest = staged(to.write_tokens(dealt, folder, PATH, shard_bytes=200), "manifest")
+        got = sorted(map(tuple, to.read_tokens(spark, folder, manifest).collect()), key=lambda r: r[1])
+        assert [r[0] for r in got] == [None] * 9 + [7] * 40 and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+        found.add(tuple(got))
+    assert len(found) == 1
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}},
+        {"normalizer": {"type": "Lowercase"}},
+        {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+    ],
+)
+def test_other_tokenizers_go_to_the_library(tmp_path, change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        made = json.load(f) | change
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    other = Tokenizer.from_file(path)
+    other.encode_special_tokens = True
+    enc = to.Encoder(path)
+    for t in [*ODD, "Some Words of 1234 here"]:
+        assert enc.encode(t).tolist() == other.encode(t, add_special_tokens=False).ids, t
+
+
 def test_empty_table(spark):
     import os
 
