@@ -61,6 +61,12 @@ def with_tag(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.join(tags, same, "left").drop("__id", "__mark").withColumn("__tag", F.coalesce("__tag", F.lit(0)))
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns called c0, c1, ... and these names by the old ones, so that no column can clash with an operator's own."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

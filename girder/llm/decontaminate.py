@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import ascii_lower, staged
+from girder.llm.common import ascii_lower, renamed, staged
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -126,10 +126,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without a hit, with all their columns; rows without an id stay."""
-    found = find_contamination(docs, items, id_col=id_col, text_col=text_col, **options)
-    bad = found.where("n_hit > 0").select(F.col(id_col).alias("__bad"))
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    """The documents without a hit, with all their columns. Rows without an id are judged one by one, under numbers of their own."""
+    docs, names = renamed(docs)
+    key, text = names[id_col], names[text_col]
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        found = find_contamination(rows, items, id_col=key, text_col=text, **options)
+        bad = found.where("n_hit > 0").select(F.col(key).alias("bad"))
+        return rows.join(bad, F.col(key) == F.col("bad"), "left_anti")
+
+    kept = clean(docs.where(F.col(key).isNotNull()), key)
+    unnamed = docs.where(F.col(key).isNull())
+    if not unnamed.isEmpty():
+        unnamed = staged(unnamed.withColumn("row", F.monotonically_increasing_id()), "unnamed")
+        kept = kept.union(clean(unnamed, "row").drop("row"))
+    return kept.toDF(*names)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

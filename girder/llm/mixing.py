@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import IS_SPACE, staged, text_buffer
+from girder.llm.common import IS_SPACE, renamed, staged, text_buffer
 
 DIMENSIONS = ("source", "lang", "topic")
+#: The columns that mix() adds.
+ADDED = ("__source", "__lang", "__topic", "__n", "__p", "__kept")
 CELL_LIMIT = 50_000
 ROUNDS, TOLERANCE = 50, 1e-6
 #: The largest distance from a target share that is not warned of.
@@ -166,8 +168,8 @@ def uniform(id_col: str, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None, temper: float = 0.7, budget: float = 0.8, seed: int = 23) -> DataFrame:
-    """docs with __source, __lang, __topic, __n, __p (probability) and __kept."""
-    rows = with_cells(docs, text_col, source_col, lang_col, topic)
+    """docs with __source, __lang, __topic, __n, __p (probability) and __kept; columns of docs by one of these names are left out."""
+    rows = with_cells(docs.drop(*ADDED), text_col, source_col, lang_col, topic)
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__n").alias("n"))
     cells = staged(cells, "cells")
     targets = {d: tempered(cells, d, temper) for d in DIMENSIONS} | (targets or {})
@@ -183,6 +185,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.withColumn("__kept", uniform(id_col, seed) < F.coalesce("__p", F.lit(1.0)))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The documents that mix() keeps, with their own columns."""
-    return mix(docs, **options).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, **options) -> DataFrame:
+    """The documents that mix() keeps, with their own columns, whatever these are called."""
+    width = len(docs.columns)
+    rows, names = renamed(docs)
+    if topic is not None:
+        rows = docs.select("*", topic.alias("__topic")).toDF(*names.values(), f"c{width}")
+        topic = F.col(f"c{width}")
+    kept = mix(rows, names[id_col], names[text_col], names[source_col], names[lang_col], topic, **options).where("__kept")
+    return kept.select(*names.values()).toDF(*names)

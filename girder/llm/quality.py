@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from girder.llm.common import IS_SPACE, mix, per_text, pieces, range_hash, runs, staged, text_buffer
+from girder.llm.common import IS_SPACE, mix, per_text, pieces, range_hash, renamed, runs, staged, text_buffer
 
 ORDER, BITS = 5, 12
 MAX_MODELS = 128
@@ -485,8 +485,13 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     With a broadcast model each text is judged once: rows are written with their language, rule and cost, the bands come from
     these columns, and rows inside their band are read back by a filter. Only rows above it are scored again, by stretches. A
-    larger model's verdicts are joined to numbered rows. Texts are never shuffled.
+    larger model's verdicts are joined to numbered rows. Texts are never shuffled. Columns may have any names.
     """
+    docs, names = renamed(docs)
+    return _keep_good(docs, names[text_col], names[lang_col], limit).toDF(*names)
+
+
+def _keep_good(docs: DataFrame, text_col: str, lang_col: str, limit: int) -> DataFrame:
     model = fit_model(docs, text_col, lang_col)
     languages = model.select("lang").distinct().count()
     if model.count() > limit or languages >= MAX_MODELS:

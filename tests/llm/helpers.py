@@ -26,6 +26,19 @@ def table(spark, rows: list[tuple]):
     return spark.createDataFrame(full, SCHEMA)
 
 
+def clashing(docs):
+    """docs with columns that are called as the operators' own, and the check that a result carries them unchanged."""
+    from pyspark.sql import functions as F
+
+    names = [f"__{n}" for n in ("n", "form", "kept", "p", "topic", "source", "cost", "lang", "chars", "failed", "mid", "unit", "deviation", "bad", "row", "id", "tag")] + ["c0", "c1", "row", "bad"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+
+    def carried(rows) -> bool:
+        return all(r[n] == f"{n}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+
+    return wide, carried
+
+
 def awkward() -> list[tuple]:
     rows = [(k, prose(k, 60 + 13 * k), "en" if k % 3 else "de", f"s{k % 4}") for k in range(12)]
     rows += [(20, None, "en", None), (21, "", None, "s1"), (22, " \n\t ", "en", "s1"), (23, "é" * 60, "fr", "s2"), (24, rows[3][1], "en", "s1"), (25, rows[3][1], "en", "s1"), (25, rows[3][1], "en", "s1"), (26, rows[5][1] + " tail", None, None), (27, prose(5, 3000), "en", "s0")]

@@ -1,7 +1,7 @@
 import re
 
 from girder.llm import decontaminate
-from tests.llm.helpers import awkward, prose, table
+from tests.llm.helpers import awkward, clashing, prose, table
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ITEMS = [(1, prose(5, 40)), (2, "Héllo short, item"), (10, prose(900, 25)), (11, None), (12, "..."), (13, prose(900, 25)), (14, "Ünï"), (15, prose(6, 12))]
@@ -76,3 +76,14 @@ def test_a_hot_window_of_many_items(spark):
         for k in range(30):
             assert (got[k]["n_items"], got[k]["n_hit"]) == ((40, 42) if k % 2 else (0, 0))
             assert got[k]["items"] == (sorted(str(i) for i in range(40)) if k % 2 else [])
+
+
+def test_rows_without_an_id_are_judged_one_by_one(spark):
+    items = spark.createDataFrame([(1, prose(70, 30))], "item_id long, text string")
+    bad, good = f"before {prose(70, 30)} after", prose(71, 80)
+    docs, carried = clashing(table(spark, [(None, bad, "en", "s"), (None, good, "en", "s"), (None, None, "en", "s"), (None, bad, "en", "t"), (1, bad, "en", "s"), (2, good, "en", "s")]))
+    for limit in (500_000, 0):
+        kept = decontaminate.keep_clean(docs, items, broadcast_windows=limit)
+        rows = kept.collect()
+        assert kept.columns == docs.columns and carried(rows)
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in rows))) == sorted(map(str, [(None, good), (None, None), (2, good)]))

@@ -3,7 +3,7 @@ import pytest
 
 from girder.llm import mixing
 from girder.llm.common import text_buffer
-from tests.llm.helpers import awkward, prose, table
+from tests.llm.helpers import awkward, clashing, prose, table
 
 
 def many():
@@ -73,3 +73,14 @@ def test_unreachable_targets_are_warned_of(spark):
     cells = spark.createDataFrame([("a", "x", "t", 30), ("a", "y", "t", 10), ("b", "x", "t", 20)], "source string, lang string, topic string, n long")
     targets = {"source": goal(a=0.5, b=0.5), "lang": goal(x=0.8, y=0.2), "topic": goal(t=1.0)}
     assert mixing.achieved(mixing.rake(cells, targets), targets).agg({"gap": "max"}).first()[0] < 1e-5
+
+
+def test_clashing_names_are_carried(spark):
+    docs, carried = clashing(table(spark, awkward()))
+    got = mixing.sample(docs)
+    rows = got.collect()
+    assert got.columns == docs.columns and rows and carried(rows)
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in mixing.sample(table(spark, awkward())).collect())
+    assert mixing.mix(docs).count() == docs.count()
+    by_topic = mixing.sample(docs, topic=docs["__topic"])
+    assert by_topic.columns == docs.columns and carried(by_topic.collect())

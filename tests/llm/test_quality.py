@@ -7,7 +7,7 @@ import pytest
 
 from girder.llm import quality
 from girder.llm.common import text_buffer
-from tests.llm.helpers import awkward, prose, table
+from tests.llm.helpers import awkward, clashing, prose, table
 
 
 def brute(t):
@@ -220,3 +220,13 @@ def test_verdict_matches_brute_force(spark, corpus):
                 part = keys[x : x + quality.STRETCH]
                 total += min((sum(-np.log(max(models[m][g], 1e-6)) if g in models[m] else quality.UNSEEN for g in part) - bands[m][0] * len(part)) / bands[m][1] for m in bands)
             assert got[i]["kept"] == (total / len(keys) * np.sqrt(chars) <= quality.HIGH)
+
+
+def test_clashing_names_are_carried(spark):
+    plain = table(spark, awkward())
+    docs, carried = clashing(plain)
+    for limit in (quality.BROADCAST_GRAMS, 0):
+        got = quality.keep_good(docs, limit=limit)
+        rows = got.collect()
+        assert got.columns == docs.columns and rows and carried(rows)
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in quality.keep_good(plain, limit=limit).collect())
