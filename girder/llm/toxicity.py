@@ -5,7 +5,8 @@ the embeddings of all its character trigrams, divided by the root of their numbe
 stands around each character, with a mark beyond the word's ends). Characters are UTF-8 bytes, tables are hashed. Overlapping windows of WINDOW words, one every STRIDE words, cover the whole
 text; each window's states are pooled by attention into one logit. A text's logit is its highest window's, and
 a logistic curve turns it into a score; it is fitted on a fifth of each class's training texts, from which the network does not learn
-(on all of them where a class has under five).
+(on all of them where a class has under five). The curve is moved so that CUT is where, at the labels' own share of label 1, the expected F1 of
+those texts is greatest; scores order texts by how likely label 1 is, but 0.7 is a decision's bound and not a share of 0.7.
 
 Training texts carry one label for many windows, so training alternates: score all windows, then learn from each
 text's highest one (and from random windows of clean texts). It uses at most `sample` labelled texts of each class, chosen by
@@ -32,6 +33,8 @@ WIDTH, HIDDEN = 16, 8
 TABLES = {"word": 1 << 15, "lead4": 1 << 13, "lead5": 1 << 13, "lead6": 1 << 13, "tail3": 1 << 12}
 GRAMS = 1 << 14
 SAMPLE, SAMPLE_BYTES = 2_500, 32 << 20
+#: The score from which a text counts as toxic.
+CUT = 0.7
 #: Optimizer steps at least, in all and on random windows, for small samples.
 STEPS, WARM = 300, 120
 
@@ -207,6 +210,15 @@ def text_logits(p: dict, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
+def best_cut(logit: np.ndarray, weight: np.ndarray) -> float:
+    """The logit from which on label 1 is to be said for the greatest expected F1, if the logits are those of true probabilities."""
+    order = np.argsort(-logit, kind="stable")
+    p, w = 1 / (1 + np.exp(-np.clip(logit[order], -30, 30))), weight[order]
+    found, said = np.cumsum(p * w), np.cumsum(w)
+    f1 = (2 * found / (said + found[-1])).max()
+    return float(np.log(f1 / 2) - np.log(1 - f1 / 2))  # the best cut is half of the best F1
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 192, rate: float = 0.006, seed: int = 5, prior: float | None = None) -> dict:
     """Fit the network and the curve (`slope`, `shift`) on whole texts.
 
@@ -289,9 +301,13 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 1
         hess = np.array([[(c * top * top).sum() + 1e-3, (c * top).sum()], [(c * top).sum(), c.sum() + 1e-3]])
         move = np.linalg.solve(hess, [(r * top).sum(), r.sum()])
         slope, shift = slope - 0.5 * move[0], shift - 0.5 * move[1]
+    share = float(labels.mean())
     if prior is not None and 0 < prior < 1:
-        share = float(labels.mean())
         shift += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    else:
+        prior = share
+    weight = np.where(labels > 0, prior / share, (1 - prior) / (1 - share))
+    shift += np.log(CUT / (1 - CUT)) - best_cut(slope * top + shift, weight)
     return {k: x.astype(np.float32) for k, x in p.items()} | {"slope": slope, "shift": shift}
 
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -39,6 +40,58 @@ def test_gradients_are_right():
         assert abs((up - down) / 2e-4 - grads[name][at]) < 1e-3 * max(1, abs(grads[name][at]))
 
 
+def plain_logit(p, words):
+    """A window's logit word by word, unit by unit."""
+    width, hidden = toxicity.WIDTH, toxicity.HIDDEN
+
+    def sig(v):
+        return 1 / (1 + math.exp(-v))
+
+    states = []
+    for d in "fb":
+        wx, wh, bias = p[f"wx_{d}"], p[f"wh_{d}"], p[f"bias_{d}"]
+        h, own = [0.0] * hidden, {}
+        for t in range(len(words)) if d == "f" else reversed(range(len(words))):
+            gx = [sum(words[t][i] * wx[i][j] for i in range(width)) + bias[j] for j in range(3 * hidden)]
+            gh = [sum(h[i] * wh[i][j] for i in range(hidden)) for j in range(3 * hidden)]
+            new = []
+            for j in range(hidden):
+                z, r = sig(gx[j] + gh[j]), sig(gx[hidden + j] + gh[hidden + j])
+                c = math.tanh(gx[2 * hidden + j] + r * gh[2 * hidden + j])
+                new.append((1 - z) * h[j] + z * c)
+            h = own[t] = new
+        states.append(own)
+    both = [states[0][t] + states[1][t] for t in range(len(words))]
+    weight = [math.exp(sum(a * b for a, b in zip(p["att"], h, strict=True))) for h in both]
+    pooled = [sum(w * h[j] for w, h in zip(weight, both, strict=True)) / sum(weight) for j in range(2 * hidden)]
+    return sum(a * b for a, b in zip(pooled, p["out"], strict=True)) + p["out_bias"][0]
+
+
+def test_forward_equals_a_plain_loop():
+    rng = np.random.default_rng(1)
+    p = toxicity.fresh(2)
+    p |= {k: rng.normal(0, 0.3, p[k].shape).astype(np.float32) for k in ("bias_f", "bias_b", "out_bias")}
+    sizes = np.array([toxicity.WINDOW, 1, 17])
+    mask = (np.arange(toxicity.WINDOW) < sizes[:, None]).astype(np.float32)
+    x = rng.normal(size=(3, toxicity.WINDOW, toxicity.WIDTH)).astype(np.float32) * mask[:, :, None]
+    got = toxicity.forward(p, x, mask)
+    for k, n in enumerate(sizes):
+        assert abs(got[k] - plain_logit(p, x[k, :n].tolist())) < 1e-4
+
+
+def test_cut_has_the_greatest_expected_f1():
+    rng = np.random.default_rng(3)
+    logit, weight = rng.normal(-1, 2, 400), rng.choice([0.3, 2.0], 400)
+    p = 1 / (1 + np.exp(-logit))
+
+    def f1(cut):
+        said = logit >= cut
+        return 2 * (p * weight)[said].sum() / (weight[said].sum() + (p * weight).sum())
+
+    best = max(f1(c) for c in logit)
+    assert abs(f1(toxicity.best_cut(logit, weight)) - best) < 1e-9
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 47, 48, 49, 84, 85, 500, 5000):
         first, size, doc = toxicity.windows(np.array([3, n]))
