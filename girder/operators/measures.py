@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.operators.order import running
+from girder.operators.quantiles import median_of, quantiles
 
 
 def long_form(one: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
@@ -18,9 +19,8 @@ def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     fields = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "lo": F.min, "hi": F.max}
     aggs = [f(c).cast("double").alias(f"{c}__{k}") for c in columns for k, f in fields.items()]
     marks = (0.05, 0.25, 0.5, 0.75, 0.95)
-    aggs += [F.percentile(c, F.array(*[F.lit(p) for p in marks])).alias(f"{c}__marks") for c in columns]  # one sorted pass a column
-    one = rows.agg(*aggs).withColumns({f"{c}__p{int(p * 100)}": F.get(f"{c}__marks", F.lit(k)) for c in columns for k, p in enumerate(marks)})
-    return long_form(one, columns, [*fields, *[f"p{int(p * 100)}" for p in marks]])
+    rest = quantiles(rows, columns, marks).select("column", *[F.get("marks", F.lit(k)).alias(f"p{int(p * 100)}") for k, p in enumerate(marks)])
+    return long_form(rows.agg(*aggs), columns, list(fields)).join(F.broadcast(rest), "column")
 
 
 def null_report(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,8 +119,9 @@ def regression_metrics(rows: DataFrame, y: str, p: str) -> DataFrame:
     e = F.col(y) - F.col(p)
     mean = rows.agg(F.avg(y).alias("__m"))
     out = rows.join(F.broadcast(mean)).agg(
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("__sse"), F.sum((F.col(y) - F.col("__m")) * (F.col(y) - F.col("__m"))).alias("__sst"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae")
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("__sse"), F.sum((F.col(y) - F.col("__m")) * (F.col(y) - F.col("__m"))).alias("__sst")
     )
+    out = out.join(F.broadcast(median_of(rows, F.abs(e), "median_ae")))
     return out.select("mae", "rmse", F.when(F.col("__sst") > 0, 1 - F.col("__sse") / F.col("__sst")).alias("r2"), "median_ae")
 
 

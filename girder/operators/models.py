@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.operators.measures import classification_metrics, ranking_metrics, regression_metrics
+from girder.operators.quantiles import median_of, quantiles
 
 
 def medians(train: DataFrame, numeric: list[str]) -> dict[str, float]:
     """Exact medians of known values."""
-    row = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in numeric]).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in numeric}
+    found = {r["column"]: r["marks"][0] for r in quantiles(train, numeric, [0.5]).collect()} if numeric else {}
+    return {c: found[c] if found[c] is not None else 0.0 for c in numeric}
 
 
 def filled(rows: DataFrame, medians_: dict[str, float], text: list[str]) -> DataFrame:
@@ -79,8 +80,10 @@ def fit_flags(train: float, validation: float, test: float, overfit: float = 0.1
 
 
 def baselines(rows: DataFrame, y: str) -> DataFrame:
-    """What predicts without features: majority class, mean and median."""
-    return rows.agg(F.mode(y).alias("majority"), F.avg(y).alias("mean"), F.percentile(y, F.lit(0.5)).alias("median"))
+    """What predicts without features: majority class (of equally frequent ones the least), mean and median."""
+    counts = rows.where(F.col(y).isNotNull()).groupBy(y).agg(F.count("*").alias("__n"))
+    majority = counts.agg(F.min_by(y, F.struct(-F.col("__n"), F.col(y))).alias("majority"))
+    return majority.join(F.broadcast(rows.agg(F.avg(y).alias("mean")))).join(F.broadcast(median_of(rows, F.col(y), "median")))
 
 
 # ---------------------------------------------------------------- attribution

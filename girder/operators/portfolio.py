@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girder.operators.order import running
+from girder.operators.quantiles import quantiles
+from girder.sources.staging import staged
+
 MIN_SAMPLE = {"state": 15, "ptype": 15, "contractor": 8}
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 DIMENSIONS = ("state", "ptype", "contractor")
@@ -50,8 +54,7 @@ def normalized(v: Column, lo: Column, hi: Column) -> Column:
 
 def quartile_cuts(rows: DataFrame, c: str) -> DataFrame:
     """n, q1, q2, q3 by linear interpolation between order statistics."""
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.agg(F.count(c).alias("n"), q.alias("q")).select("n", *[F.coalesce(F.col("q")[k], F.lit(0.0)).alias(f"q{k + 1}") for k in range(3)])
+    return quantiles(rows, [c], [0.25, 0.5, 0.75]).select("n", *[F.coalesce(F.get("marks", F.lit(k)), F.lit(0.0)).alias(f"q{k + 1}") for k in range(3)])
 
 
 def level_of(score: Column) -> Column:
@@ -68,6 +71,7 @@ def risk_scores(scores: DataFrame) -> DataFrame:
     nd = normalized(F.col("delay_pred"), F.col("dlo"), F.col("dhi"))
     nc = normalized(F.col("cost_pred"), F.col("clo"), F.col("chi"))
     rows = rows.withColumn("score", 100 * ((pd + nd) / 2 + (pc + nc) / 2) / 2).drop("dlo", "dhi", "clo", "chi")
+    rows = staged(rows, "risk")  # the cuts read it twice
     cut = rows.join(F.broadcast(quartile_cuts(rows, "score")))
     return cut.withColumn("level", level_of(F.col("score"))).drop("n", "q1", "q2", "q3")
 
@@ -77,17 +81,9 @@ def positions(risk: DataFrame) -> DataFrame:
 
     Ranks come from counts of distinct scores, summed within ranges: no row ever meets all others in one task.
     """
-    from pyspark.sql import Window
-
     n = risk.select(F.count("*").alias("__n"))
     per = risk.groupBy("score").agg(F.count("*").alias("__here"))
-    # a distinct score's share of the rows at or below it: prefix sums inside ranges of scores, plus each range's offset
-    ranged = per.repartitionByRange("score").withColumn("__part", F.spark_partition_id())
-    inside = F.sum("__here").over(Window.partitionBy("__part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    ranged = ranged.withColumn("__cum", inside)
-    sums = ranged.groupBy("__part").agg(F.sum("__here").alias("__sum"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__sum"), F.lit(0)).alias("__base"))
-    table = ranged.join(F.broadcast(before), "__part").select("score", (F.col("__cum") + F.col("__base")).alias("__upto"))
+    table = running(per, ["score"], {"__here": "__upto"}).select("score", "__upto")
     return risk.join(table, "score").join(F.broadcast(n)).withColumn("percentile", 100.0 * F.col("__upto") / F.col("__n")).drop("__upto", "__n")
 
 

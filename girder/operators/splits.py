@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.operators.order import numbered
+from girder.operators.quantiles import quantiles
 
 SPLITS = ("train", "validation", "test")
 
@@ -60,7 +61,9 @@ def split_metadata(rows: DataFrame, key: str, start: str, month: str, terminal:
 def cohort_diagnostic(rows: DataFrame, target: str, kind: str) -> DataFrame:
     """(split, n, mean, std, median, share of the commonest kind) of the projects of each split."""
     by_kind = rows.groupBy("split", kind).agg(F.count("*").alias("k")).groupBy("split").agg(F.max("k").alias("top"))
-    stats = rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"), F.percentile(target, F.lit(0.5)).alias("median"))
+    stats = rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"))
+    middle = quantiles(rows, [target], [0.5], by=["split"]).select(F.col("split").alias("__split"), F.get("marks", F.lit(0)).alias("median"))
+    stats = stats.join(F.broadcast(middle), F.col("split").eqNullSafe(F.col("__split")))
     return stats.join(by_kind, "split").select("split", "n", "mean", "std", "median", (F.col("top") / F.col("n")).alias("top_share"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.operators import assist, evidence, lifecycle, measures, models, panel, portfolio, relations
+from girder.operators.quantiles import median_of
 from girder.sources.staging import staged
 from girder.plans.views import eligible, outcomes, projects, scores, snapshots, sql, table
 from girder.streaming import events as streams
@@ -187,7 +188,9 @@ def _(spark, d):
 @query("agg39_snapshots_per_project", "SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, min(n) AS lo, max(n) AS hi FROM (SELECT count(*) AS n FROM snapshots GROUP BY pid)")
 def _(spark, d):
     n = snapshots(spark, d).groupBy("pid").agg(F.count("*").alias("n"))
-    return rounded(n.agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    n = staged(n, "snapshots-per-project")
+    out = n.agg(F.avg("n").alias("mean"), F.min("n").alias("lo"), F.max("n").alias("hi")).join(F.broadcast(median_of(n, F.col("n"), "median")))
+    return rounded(out.select("mean", "median", "lo", "hi"))
 
 
 @query("jn1_terminal_outcomes", "SELECT pid, state, delay_days, overrun_pct, delayed, overrun FROM outcomes JOIN projects USING (pid)")
