@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from girder.operators import assist, portfolio
 from girder.operators.panel import latest_row
+from girder.sources.staging import staged
 
 ELEVATION, PEERS, DRIVERS, FLAGS = 0.10, 2, 3, 3
 ELEVATED = ("HIGH", "CRITICAL")
@@ -66,6 +67,7 @@ def peer_context(projects: DataFrame, outcomes: DataFrame, risk: DataFrame, key:
     A project without a value, or whose value no segment has, is unavailable there. Segments are aggregates, joined by value.
     """
     parts = None
+    outcomes, risk = staged(outcomes, "outcomes"), staged(risk, "risk")  # three reports read them
     for d in portfolio.DIMENSIONS:
         own = portfolio.segment_report(outcomes, risk, d).select(F.lit(d).alias("dimension"), "value", "n_hist", "delay_rate", "overrun_rate", "small_sample")
         parts = own if parts is None else parts.unionByName(own)

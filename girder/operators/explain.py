@@ -31,9 +31,16 @@ def _walk(node, weight: float, value, path: dict) -> Iterator[Leaf]:
         yield Leaf(weight * value(node), features, *[[path[f][k] for f in features] for k in range(3)])
         return
     split, total = node.split(), max(node.impurityStats().count(), 1)
-    f, t = split.featureIndex(), float(split.threshold())
+    f, under, over = split.featureIndex(), node.leftChild(), node.rightChild()
+    if split.getClass().getSimpleName() == "CategoricalSplit":  # Spark takes one-hot parts for categories 0 and 1
+        left, right = sorted(split.leftCategories()), sorted(split.rightCategories())
+        if sorted([left, right]) != [[0.0], [1.0]]:
+            raise ValueError(f"feature {f} splits on more categories than 0 and 1")
+        t, (under, over) = 0.5, (under, over) if left == [0.0] else (over, under)
+    else:
+        t = float(split.threshold())
     low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-    for child, bounds in ((node.leftChild(), (low, min(high, t))), (node.rightChild(), (max(low, t), high))):
+    for child, bounds in ((under, (low, min(high, t))), (over, (max(low, t), high))):
         yield from _walk(child, weight, value, path | {f: (*bounds, share * child.impurityStats().count() / total)})
 
 
@@ -41,7 +48,7 @@ def leaves_of(model) -> list[Leaf]:
     """The leaves of a fitted Spark ML tree ensemble or tree, weighted so that the values of the leaves a row reaches add up to what it explains.
 
     That is the prediction of a regression, the probability of class 1 of a forest or tree of classes, and the margin of a boosted
-    classifier. Splits must be on numbers (one-hot columns are).
+    classifier. Splits must be on numbers or on one-hot parts; a split on other categories raises ValueError.
     """
     if isinstance(model, PipelineModel):
         model = model.stages[-1]

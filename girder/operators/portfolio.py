@@ -187,6 +187,7 @@ def predicted_trend(risk: DataFrame, year: Column, minimum: int = 15) -> DataFra
 def insights(outcomes: DataFrame, risk: DataFrame) -> DataFrame:
     """Sentences over the portfolio, as rows in order: history, predictions, then each dimension's top segment."""
     pct = lambda c: F.format_string("%.1f%%", c * 100)
+    outcomes, risk = staged(outcomes, "outcomes"), staged(risk, "risk")  # three reports and three sentences read them
     o = overview(outcomes)
     past = o.where("n > 0").select(F.lit(1).alias("pos"), F.concat(F.lit("Of "), F.col("n").cast("string"), F.lit(" finished projects "), pct(F.col("delay_rate")), F.lit(" ended with a significant delay.")).alias("text"))
     cost = o.where("n > 0").select(F.lit(2).alias("pos"), F.concat(F.lit("Of "), F.col("n").cast("string"), F.lit(" finished projects "), pct(F.col("overrun_rate")), F.lit(" ended with a cost overrun.")).alias("text"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.operators import models
+from girder.operators import explain, models
+from girder.sources.staging import staged
 
 #: The four tasks: name -> (kind, short name of its output columns).
 TASKS = {"significant_delay": ("class", "delay"), "final_delay_days": ("regression", "delay_days"), "cost_overrun": ("class", "cost"), "final_cost_overrun_pct": ("regression", "cost_pct")}
@@ -44,13 +45,17 @@ class Registry:
 
 
 def fit_tasks(train: DataFrame, numeric: list[str], text: list[str], targets: dict[str, str], families: dict[str, str] | None = None) -> Registry:
-    """Fit every task of `targets` (task -> label column) on the training rows."""
+    """Fit every task of `targets` (task -> label column) on the training rows, which are read, filled and prepared once for all tasks."""
     families = families or {t: "logistic" if TASKS[t][0] == "class" else "linear" for t in targets}
-    n, fitted, medians = train.count(), {}, {}
+    train = staged(train.select(*dict.fromkeys([*numeric, *text, *targets.values()])), "training")
+    n, medians = train.count(), models.medians(train, numeric)
+    train = models.filled(train, medians, text)
+    prepared = Pipeline(stages=models.preprocessing(numeric, text)).fit(train)
+    ready = staged(prepared.transform(train).select("features", *dict.fromkeys(targets.values())), "features")
+    fitted = {}
     for task, label in targets.items():
         model = models.classifier(families[task], label, n) if TASKS[task][0] == "class" else models.regressor(families[task], label)
-        pipeline, medians = models.fitted(train, model, numeric, text)
-        fitted[task] = families[task], pipeline
+        fitted[task] = families[task], PipelineModel(stages=[*prepared.stages, model.fit(ready)])
     return Registry(numeric, text, fitted, medians)
 
 
@@ -104,6 +109,63 @@ def recorded_sentences(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumns({"delay_text": said("significant delay", "delayed"), "cost_text": said("cost overrun", "overrun")})
 
 
+# ---------------------------------------------------------------- explanations and what-ifs of the fitted tasks
+
+
+def owners(ready: DataFrame, numeric: list[str], text: list[str]) -> list[str]:
+    """The column that each part of `features` comes from; a text column owns all of its one-hot parts."""
+    found = {}
+    for part in [a for kind in ready.schema["features"].metadata["ml_attr"]["attrs"].values() for a in kind]:
+        place = part["name"].removeprefix("__scaled_")
+        found[part["idx"]] = numeric[int(place)] if place.isdigit() else next(c for c in sorted(text, key=len, reverse=True) if part["name"].startswith(f"__{c}_v_"))
+    return [found[k] for k in range(len(found))]
+
+
+def task_attributions(rows: DataFrame, registry: Registry, task: str, key: str | list[str], background: DataFrame) -> DataFrame:
+    """(key, feature, attribution): what each column of a row adds to the fitted task's margin, one-hot parts added up to their column.
+
+    Linear tasks: coefficient times distance from the background's mean, within the row, without a shuffle; a key's attributions add up to its margin
+    (log-odds of a class) less that of the mean. Tree tasks: exact path-dependent shares of the leaves (`explain.tree_attributions`), which need no
+    background. Missing values are filled as for scoring; an empty background leaves a linear task's attributions null.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    keys = [key] if isinstance(key, str) else list(key)
+    family, pipeline = registry.fitted[task]
+    prepared, model = PipelineModel(stages=pipeline.stages[:-1]), pipeline.stages[-1]
+    ready = prepared.transform(models.filled(rows, registry.medians, registry.text))
+    own = owners(ready, registry.numeric, registry.text)
+    if family not in ("logistic", "linear"):
+        names = [f"{k}" for k in range(len(own))]
+        parts = explain.tree_attributions(ready.select(*keys, "features"), keys, "features", names, model)
+        return explain.grouped(parts, keys, dict(zip(names, own, strict=True)))
+    mean = prepared.transform(models.filled(background, registry.medians, registry.text)).agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("__mean"))
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    apart = F.zip_with(F.zip_with(vector_to_array("features"), F.col("__mean"), lambda x, m: x - m), weights, lambda d, w: d * w)
+    out = ready.join(F.broadcast(mean)).select(*keys, apart.alias("__parts"))
+    sums = []
+    for c in dict.fromkeys(own):
+        total = F.lit(0.0)
+        for k in [k for k, o in enumerate(own) if o == c]:
+            total = total + F.get("__parts", F.lit(k))
+        sums.append(F.struct(F.lit(c).alias("feature"), total.alias("attribution")))
+    return out.select(*keys, F.inline(F.array(*sums)))
+
+
+def scenario_scores(rows: DataFrame, registry: Registry, task: str, key: str, background: DataFrame, outputs: list[str]) -> DataFrame:
+    """(key, field, reference, <output>_base, _new, _change): each row beside itself with its strongest driver of the task at the training mean.
+
+    A row whose strongest driver is a text column keeps all values: field and reference are null and every change is 0.
+    """
+    means = background.agg(*[F.avg(c).alias(c) for c in registry.numeric])
+    picked = staged(scenarios(rows, task_attributions(rows, registry, task, key, background), means, key, registry.numeric), "scenarios")
+    named = picked.select(key, F.col("field").alias("__field"), F.col("reference").alias("__reference"))
+    overrides = {c: F.when(F.col("__field") == c, F.col("__reference")).otherwise(F.col(c).cast("double")) for c in registry.numeric}
+    out = simulated(rows.join(named, key), overrides, lambda both: score_tasks(both, registry), key, outputs)
+    return picked.join(out, key)
+
+
 # ---------------------------------------------------------------- what-if
 
 

@@ -11,7 +11,7 @@ from girder.operators import assist, cells, decisions, explain, measures, models
 from girder.operators.order import numbered
 from girder.plans.catalog import PAIR_THRESHOLD, _PAIRS, _pairs, _segments, query, risk, rounded, with_project
 from girder.plans.views import eligible, outcomes, projects, scores, snapshots, table
-from girder.sources.staging import shared_folder
+from girder.sources.staging import shared_folder, staged
 
 # ---------------------------------------------------------------- features and splits
 
@@ -263,8 +263,12 @@ def _peer_sql(name: str) -> str:
 _PEERS = " UNION ALL ".join(_peer_sql(x) for x in portfolio.DIMENSIONS)
 
 
+def _peers_of(spark, d, scored: DataFrame) -> DataFrame:
+    return decisions.peer_context(projects(spark, d), with_project(outcomes(spark, d), spark, d), scored)
+
+
 def peers(spark, d) -> DataFrame:
-    return decisions.peer_context(projects(spark, d), with_project(outcomes(spark, d), spark, d), risk(spark, d))
+    return _peers_of(spark, d, risk(spark, d))
 
 
 @query("cmp11_peer_context", _PEERS)
@@ -276,9 +280,9 @@ _SPREADS = f"""SELECT pid, dimension, value, unnest(['delay_rate', 'overrun_rate
 FROM ({_PEERS}) WHERE status = 'ok' AND NOT small_sample AND n_hist IS NOT NULL"""
 
 
-def spreads(spark, d) -> DataFrame:
+def spreads(spark, d, known: DataFrame | None = None) -> DataFrame:
     whole = rounded(portfolio.overview(outcomes(spark, d)))
-    return rounded(decisions.spreads(rounded(peers(spark, d)), whole))
+    return rounded(decisions.spreads(rounded(known or peers(spark, d)), whole))
 
 
 @query("sc12_spreads", _SPREADS)
@@ -291,7 +295,8 @@ FROM ({_SPREADS}) s JOIN risk r ON r.pid = s.pid WHERE spread >= 0.1 AND r.level
 
 
 def elevated(spark, d) -> DataFrame:
-    return decisions.peer_elevation(spreads(spark, d), risk(spark, d))
+    scored = risk(spark, d)
+    return decisions.peer_elevation(spreads(spark, d, _peers_of(spark, d, scored)), scored)
 
 
 @query("ord9_peer_elevation", _ELEVATED)
@@ -303,7 +308,9 @@ def _(spark, d):
 FROM risk r LEFT JOIN (SELECT pid, count(*) FILTER (WHERE status = 'ok') AS n FROM ({_PEERS}) GROUP BY pid) k ON k.pid = r.pid
 LEFT JOIN (SELECT pid, count(*) AS n, arg_min(value, rank) AS first_elevated FROM ({_ELEVATED}) GROUP BY pid) e ON e.pid = r.pid""")
 def _(spark, d):
-    return rounded(decisions.decision_summary(risk(spark, d), peers(spark, d), elevated(spark, d)))
+    scored = staged(risk(spark, d), "risk")
+    known = staged(_peers_of(spark, d, scored), "peers")
+    return rounded(decisions.decision_summary(scored, known, decisions.peer_elevation(spreads(spark, d, known), scored)))
 
 
 # ---------------------------------------------------------------- states, drivers, what-if
@@ -415,28 +422,61 @@ NUMERIC, TARGETS = ["n_orders", "cost", "done", "severity"], {"significant_delay
 
 
 def _registry(rows: DataFrame) -> scoring.Registry:
-    return scoring.fit_tasks(rows.where("split = 'train' AND NOT is_terminal"), NUMERIC, ["ptype"], TARGETS)
+    return scoring.fit_tasks(_training(rows), NUMERIC, ["ptype"], TARGETS)
 
 
 @query("ml9_four_tasks")
 def _(spark, d):
     """Fitted on the training part, scored on the test part."""
-    rows = _features(spark, d)
+    rows = staged(_features(spark, d), "panel")
     out = scoring.score_tasks(rows.where("split = 'test' AND NOT is_terminal"), _registry(rows))
     return out.select("pid", "midx", "delay_class", "delay_p", "delay_days_pred", "cost_class", "cost_p", "cost_pct_pred")
 
 
 @query("ml10_batch_scores")
 def _(spark, d):
-    rows = _features(spark, d)
+    rows = staged(_features(spark, d), "panel")
     done, failed = scoring.batch_scores(rows, eligible(spark, d), _registry(rows), "pid", "midx", ["severity"])
     return done.select("pid", "midx", "delay_p", "cost_p", F.lit(None).cast("string").alias("reason")).unionByName(failed.select("pid", "midx", F.lit(None).cast("double").alias("delay_p"), F.lit(None).cast("double").alias("cost_p"), "reason"))
 
 
+def _latest(rows: DataFrame, spark, d) -> DataFrame:
+    return rows.join(eligible(spark, d).select("pid", F.col("m").alias("midx")), ["pid", "midx"])
+
+
+def _training(rows: DataFrame) -> DataFrame:
+    return rows.where("split = 'train' AND NOT is_terminal")
+
+
+@query("ml13_model_attributions")
+def _(spark, d):
+    """Every project's latest open month: what each column adds to each of the four fitted tasks."""
+    rows = staged(_features(spark, d), "panel")
+    registry, made = _registry(rows), None
+    for task in TARGETS:
+        own = scoring.task_attributions(_latest(rows, spark, d), registry, task, "pid", _training(rows)).select("pid", F.lit(task).alias("task"), "feature", "attribution")
+        made = own if made is None else made.unionByName(own)
+    return made
+
+
+@query("ml15_model_whatif")
+def _(spark, d):
+    """Every project's latest open month, and the same with severity raised by half: the four tasks' answers side by side."""
+    rows = staged(_features(spark, d), "panel")
+    registry = _registry(rows)
+    return scoring.simulated(_latest(rows, spark, d), {"severity": F.col("severity") * 1.5}, lambda both: scoring.score_tasks(both, registry), "pid", ["delay_p", "delay_days_pred", "cost_p", "cost_pct_pred"])
+
+
+@query("ml16_model_scenarios")
+def _(spark, d):
+    """Every project's latest open month with its strongest driver of delay at the training mean."""
+    rows = staged(_features(spark, d), "panel")
+    return scoring.scenario_scores(_latest(rows, spark, d), _registry(rows), "significant_delay", "pid", _training(rows), ["delay_p", "delay_days_pred"])
+
+
 @query("ml8_importances")
 def _(spark, d):
-    rows = _features(spark, d)
-    train = rows.where("split = 'train' AND NOT is_terminal")
+    train = staged(_training(_features(spark, d)), "training")
     fitted, _ = models.fitted(train, models.classifier("forest", "delayed", 0, numTrees=10, maxDepth=5), NUMERIC, ["ptype"])
     return scoring.importances(fitted, NUMERIC, spark)
 

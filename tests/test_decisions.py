@@ -62,6 +62,43 @@ def test_registry_scores_four_tasks_and_fails_loudly(spark, panel, tmp_path):
         assert scoring.reload_cache(done.limit(n), f"{tmp_path}/cache") == n
 
 
+def test_attributions_of_fitted_tasks_add_up(spark, panel):
+    import math
+
+    targets = {"significant_delay": "late", "final_delay_days": "days", "cost_overrun": "over", "final_cost_overrun_pct": "pct"}
+    families = {"significant_delay": "logistic", "final_delay_days": "linear", "cost_overrun": "boosted", "final_cost_overrun_pct": "forest"}
+    panel = panel.withColumns({"x": F.when(F.col("pid") != 3, F.col("x")), "kind": F.when(F.col("pid") != 4, F.col("kind"))})
+    registry = scoring.fit_tasks(panel, ["x"], ["kind"], targets, families)
+    scored = {r["pid"]: r for r in scoring.score_tasks(panel, registry).collect()}
+    margin = {
+        "significant_delay": lambda r: math.log(r["delay_p"] / (1 - r["delay_p"])), "final_delay_days": lambda r: r["delay_days_pred"],
+        "cost_overrun": lambda r: math.log(r["cost_p"] / (1 - r["cost_p"])), "final_cost_overrun_pct": lambda r: r["cost_pct_pred"],
+    }
+    for task in targets:
+        rows = scoring.task_attributions(panel, registry, task, "pid", panel).collect()
+        assert sorted({r["feature"] for r in rows}) == ["kind", "x"] and len(rows) == 240
+        total = {}
+        for r in rows:
+            total[r["pid"]] = total.get(r["pid"], 0.0) + r["attribution"]
+        scale = 0.5 if task == "cost_overrun" else 1.0  # the probability of Spark's boosted trees is that of twice their sum
+        rest = [scale * margin[task](scored[k]) - v for k, v in total.items()]
+        assert max(rest) - min(rest) < 1e-6, task  # every row is as far from the same base
+        if families[task] == "linear":
+            assert abs(rest[0] - sum(margin[task](r) for r in scored.values()) / len(scored)) < 1e-6
+    assert scoring.task_attributions(panel.where("pid < 0"), registry, "significant_delay", "pid", panel).count() == 0
+
+
+def test_scenarios_of_fitted_tasks(spark, panel):
+    registry = scoring.fit_tasks(panel, ["x"], ["kind"], {"significant_delay": "late", "final_delay_days": "days"})
+    got = {r["pid"]: r for r in scoring.scenario_scores(panel, registry, "final_delay_days", "pid", panel, ["delay_days_pred"]).collect()}
+    before = {r["pid"]: r["delay_days_pred"] for r in scoring.score_tasks(panel, registry).collect()}
+    at_mean = {r["pid"]: r["delay_days_pred"] for r in scoring.score_tasks(panel.withColumn("x", F.lit(4.5)), registry).collect()}
+    assert len(got) == 120
+    for k, r in got.items():
+        assert (r["field"], r["reference"]) == ("x", 4.5)
+        assert abs(r["delay_days_pred_base"] - before[k]) < 1e-9 and abs(r["delay_days_pred_new"] - at_mean[k]) < 1e-9
+
+
 def test_simulation_keeps_the_baseline(spark, panel):
     score = lambda rows: rows.withColumn("s", F.col("x") * 2)
     out = scoring.simulated(panel.where("pid < 3"), {"x": 10.0}, score, "pid", ["s"])
