@@ -178,13 +178,13 @@ def table_text(cells: list[Column]) -> Column:
 # ---------------------------------------------------------------- summaries
 
 
-def risk_summary(states: DataFrame, risk: DataFrame, drivers: DataFrame, evidence: DataFrame, flagged: DataFrame, key: str = "pid") -> DataFrame:
-    """One row for each project's latest snapshot: status, score and level, tasks' drivers, strength of evidence.
+def risk_summary(states: DataFrame, risk: DataFrame, drivers: DataFrame, evidence: DataFrame, flagged: DataFrame, key: str = "pid", every: bool = False) -> DataFrame:
+    """One row for each project's latest snapshot, or with `every` for each snapshot: status, score and level, tasks' drivers, strength of evidence.
 
     states: key, midx, status; drivers: of driver_recommendations; evidence: key, found; flagged: keys whose evidence a flag touches.
     Finished projects keep their recorded outcome and have no drivers.
     """
-    now = latest_row(states, ["status"], key)
+    now = states.select(key, "midx", "status") if every else latest_row(states, ["status"], key)
     rows = now.join(risk.select(key, "score", "level"), key, "left").join(drivers.where("place = 1").select(key, F.col("identity").alias("driver"), "tasks"), key, "left")
     rows = rows.join(evidence.select(key, "found"), key, "left").join(flagged.select(key).distinct().withColumn("__flag", F.lit(True)), key, "left")
     strength = evidence_strength(F.coalesce("found", F.lit(False)), F.coalesce("__flag", F.lit(False)))

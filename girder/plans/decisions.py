@@ -390,12 +390,12 @@ def _(spark, d):
 
 @query("cmp9_risk_summary", f"""SELECT s.pid, s.midx, s.status, round(r.score, 6) AS score, r.level, CASE WHEN s.status = 'model_prediction' THEN t.identity END AS driver, CASE WHEN s.status = 'model_prediction' THEN t.tasks END AS tasks,
 CASE WHEN s.pid % 3 = 0 AND s.pid % 5 <> 0 THEN 'high' WHEN s.pid % 3 = 0 THEN 'moderate' ELSE 'limited' END AS evidence_strength
-FROM (SELECT pid, max(midx) AS midx, arg_max(status, midx) AS status FROM ({_STATES}) WHERE midx < 24000 + pid % 13 GROUP BY pid) s LEFT JOIN risk r ON r.pid = s.pid LEFT JOIN (SELECT * FROM ({_DRIVER_RECS}) WHERE place = 1) t ON t.pid = s.pid""")
+FROM ({_STATES}) s LEFT JOIN risk r ON r.pid = s.pid LEFT JOIN (SELECT * FROM ({_DRIVER_RECS}) WHERE place = 1) t ON t.pid = s.pid""")
 def _(spark, d):
-    states = scoring.prediction_states(snapshots(spark, d), ["severity"]).where("midx < 24000 + pid % 13")
+    states = scoring.prediction_states(snapshots(spark, d), ["severity"])
     p = projects(spark, d).select("pid")
     found = p.select("pid", (F.col("pid") % 3 == 0).alias("found"))
-    out = decisions.risk_summary(states, risk(spark, d), decisions.driver_recommendations(drivers(spark, d)), found, p.where("pid % 5 = 0"))
+    out = decisions.risk_summary(states, risk(spark, d), decisions.driver_recommendations(drivers(spark, d)), found, p.where("pid % 5 = 0"), every=True)
     return rounded(out)
 
 
