@@ -1,7 +1,7 @@
 """Exact quantiles by distributed selection: sketches say which values can hold a rank, and only those are put in order.
 
 A sketch of bounded size, combined before the shuffle, gives each wanted rank a bracket of values. One more pass counts the rows below the
-bracket and each distinct value inside it (about SPREAD / ACCURACY of the rows on either side), again combined before the shuffle. The values inside are
+bracket and each distinct value inside it (all of them where fewer than ACCURACY are known, else about SPREAD / ACCURACY of the rows on either side), again combined before the shuffle. The values inside are
 dealt to ranges and numbered there, so no task ever holds all values, nor all those of one column or group.
 
 Defined cases: nulls are left out; NaN counts as the largest value; a column or group without a known value has null for each mark; an
@@ -42,6 +42,8 @@ def quantiles(rows: DataFrame, columns: Sequence[str] | dict[str, Column], marks
         low = F.get("__s", F.lit(2 * k)) if lo > 0 else F.lit(float("-inf"))
         high = F.get("__s", F.lit(2 * k + 1)) if hi < 1 else F.lit(float("nan"))
         high = F.when(high == float("inf"), float("nan")).otherwise(high)  # NaN is above all
+        few = F.col("__n") < ACCURACY  # too few for a bracket to hold both neighbours of a rank
+        low, high = F.when(few, float("-inf")).otherwise(low), F.when(few, float("nan")).otherwise(high)
         brackets.append(F.struct(F.lit(k).alias("__k"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("__at"), low.alias("__lo"), high.alias("__hi")))
     asked = staged(groups.select("__key", "__n", F.inline(F.array(*brackets))), "brackets")
     small = F.broadcast if asked.count() <= BRACKETS else (lambda df: df)

@@ -62,6 +62,17 @@ def test_joined_brackets_give_the_same(spark, narrow, monkeypatch):
     assert sorted(map(str, quantiles.quantiles(df, ["x"], MARKS, by=["g"]).collect())) == want
 
 
+@pytest.mark.parametrize("accuracy", [50, 2_000])
+def test_every_small_size(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    sizes = [1, 2, 3, 4, 5, 8, 11, 49, 50, 51, 52, 99, 100, 101, 199]
+    rows = [(n, float((k * 37) % 211)) for n in sizes for k in range(n)]
+    got = {r["n"]: r["marks"] for r in quantiles.quantiles(spark.createDataFrame(rows, "g int, x double"), ["x"], MARKS, by=["g"]).collect()}
+    for n in sizes:
+        values = [v for g, v in rows if g == n]
+        assert all(near(a, plain(values, p)) for a, p in zip(got[n], MARKS, strict=True)), n
+
+
 def test_empty_null_and_odd_values(spark):
     none = spark.createDataFrame([], "x double, g string")
     assert [(r["column"], r["n"], r["marks"]) for r in quantiles.quantiles(none, ["x"], [0.5]).collect()] == [("x", 0, [None])]
