@@ -28,10 +28,12 @@ def outside(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def touching(pairs: DataFrame, ids: DataFrame, left: str, right: str, key: str) -> DataFrame:
-    """Pairs with either side in a set, once each: two semi joins, the second over what the first leaves."""
-    a = pairs.join(ids.select(F.col(key).alias(left)), left, "left_semi")
-    b = pairs.join(ids.select(F.col(key).alias(left)), left, "left_anti").join(ids.select(F.col(key).alias(right)), right, "left_semi")
-    return a.unionByName(b)
+    """Pairs with either side in a set, once each: both sides are looked up in one pass, so the pairs are made once."""
+    held = ids.where(F.col(key).isNotNull()).select(F.col(key)).distinct()
+    out = pairs
+    for side in (left, right):
+        out = out.join(held.select(F.col(key).alias(side), F.lit(True).alias(f"__{side}")), side, "left")
+    return out.where(F.coalesce(f"__{left}", f"__{right}", F.lit(False))).select(*pairs.columns)
 
 
 def aligned(spine: DataFrame, live: DataFrame, portfolio: DataFrame, key: str, value: str) -> DataFrame:
