@@ -2,7 +2,8 @@
 
 Every leaf of every tree is a row of arrays: its value, the features on its path and the share of training weight that passes each of them. For a
 batch of rows, a leaf's path becomes a bit mask for each row (which of the leaf's features hold the row on the path). Rows of one mask have the same
-attributions, so these are worked out once for each mask that occurs, from polynomials in the number of known features, and looked up.
+attributions, so these are worked out once for each mask, from polynomials in the number of known features, and looked up: a leaf of few features keeps
+the values of all its masks, one of many gets those that occur in a batch.
 """
 
 from __future__ import annotations
@@ -17,12 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A leaf of so many features keeps a table of all masks.
+FEW = 8
+
+
 class Leaf:
     """A leaf's weighted value, and for each of its features: (low, high] of the path, and the share of weight that stays on it."""
 
     def __init__(self, value: float, features: list[int], low: list[float], high: list[float], share: list[float]):
         self.value, self.features = value, features
         self.low, self.high, self.share = np.array(low), np.array(high), np.array(share)
+        self.bits = 1 << np.arange(len(features), dtype=np.int64)
+        self.table = self.values(np.arange(1 << len(features))) if 0 < len(features) <= FEW else None
+
+    def values(self, masks: np.ndarray) -> np.ndarray:
+        """The attributions of the leaf's features (columns) for each mask."""
+        return self.value * mask_shares(((masks[:, None] & self.bits) > 0).astype(float), self.share)
 
 
 def _walk(node, weight: float, value, path: dict) -> Iterator[Leaf]:
@@ -89,17 +100,22 @@ def mask_shares(on: np.ndarray, share: np.ndarray) -> np.ndarray:
 def attributions(leaves: list[Leaf], x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Shapley values of the rows of x (rows x features). A missing value (NaN) goes right at every split, as Spark's trees send it."""
     out = np.zeros(x.shape) if out is None else out
-    x = np.where(np.isnan(x), np.inf, x)
+    columns = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x).T)
     for leaf in leaves:
         if not leaf.features:
             continue
-        own = x[:, leaf.features]
-        on = (own > leaf.low) & ((own <= leaf.high) | np.isinf(leaf.high))
-        bits = 1 << np.arange(len(leaf.features), dtype=np.int64)
-        masks, inverse = np.unique(on @ bits, return_inverse=True)
-        table = leaf.value * mask_shares(((masks[:, None] & bits) > 0).astype(float), leaf.share)
+        place = np.zeros(len(x), np.int64)
+        for f, low, high, bit in zip(leaf.features, leaf.low, leaf.high, leaf.bits, strict=True):
+            on = columns[f] > low
+            if not np.isinf(high):
+                on &= columns[f] <= high
+            place += bit * on
+        table = leaf.table
+        if table is None:
+            masks, place = np.unique(place, return_inverse=True)
+            table = leaf.values(masks)
         for k, f in enumerate(leaf.features):
-            out[:, f] += table[inverse, k]
+            out[:, f] += table[place, k]
     return out
 
 

@@ -78,3 +78,16 @@ def test_parts_are_added_up_and_empty_tables(vectors):
     both = explain.grouped(got, "k", {"a": "ab", "b": "ab"})
     assert {r["feature"] for r in both.select("feature").distinct().collect()} == {"ab", "c", "d"}
     assert explain.tree_attributions(vectors.limit(0), "k", "features", NAMES, model).count() == 0
+
+
+def test_a_leaf_of_few_features_keeps_its_masks(monkeypatch):
+    leaf = explain.Leaf(2.0, [0, 2], [-np.inf, 1.0], [3.0, np.inf], [0.25, 0.5])
+    assert leaf.table.shape == (4, 2)
+    x = np.random.default_rng(1).normal(2, 2, (500, 3))
+    x[::7, 2] = np.nan
+    monkeypatch.setattr(np, "unique", lambda *a, **k: 1 / 0)  # no batch is sorted
+    kept = explain.attributions([leaf], x)
+    monkeypatch.undo()
+    monkeypatch.setattr(explain, "FEW", 0)
+    assert np.array_equal(kept, explain.attributions([explain.Leaf(2.0, [0, 2], [-np.inf, 1.0], [3.0, np.inf], [0.25, 0.5])], x))
+    assert np.abs(kept).sum() > 0
