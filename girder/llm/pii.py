@@ -8,9 +8,10 @@ The trees learn from examples that are more than the strict patterns. Seeds are
 that a credential word introduces. Each seed gives positive examples as it stands, rewritten loosely (an e-mail with [at] and [dot],
 a card with dots, a phone without its country, an address with a port), and rewritten without its context; and negative ones with its digits
 or letters spoilt (wrong check digit, octets over 255, a phone cut short, a run without digits). Candidates that touch no seed are unknown
-and count as negative with the weight UNKNOWN, for some of them are what is looked for. At most SAMPLE examples are used, as many of each kind and label, the least by hash over the whole table.
+and count as negative with the weight UNKNOWN, for some of them are what is looked for. All examples of the whole table are used: equal ones are one row with their weights added up,
+and where a kind and label has more than SHARE of them, their weights are scaled down to SHARE, so that no kind outweighs the others.
 
-Scores are calibrated on the half of the sample that the trees have not seen: a kind's threshold is the lowest score, 0.5 at least, from which
+Scores are calibrated on the half of the examples that the trees have not seen: a kind's threshold is the lowest score, 0.5 at least, from which
 PRECISION of its examples are positive. Candidates over it are taken greedily, best score first (ties: first start, then kind), as long as
 they touch neither a base span of any kind nor a span taken before.
 
@@ -25,7 +26,7 @@ seed or without any negative example adds no span, and a kind without examples a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm.common import staged
@@ -50,7 +51,8 @@ LOOSE = {
     "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+=?+=?+",
 }
 CONTEXT = 24
-SAMPLE, SALTS = 20_000, 32
+#: So many examples of a kind and label weigh in full.
+SHARE = 2_000
 PRECISION, UNKNOWN = 0.98, 0.1
 KEYWORDS = r"(?i)\b(?:e-?mail|mail|call|phone|tel|fax|contact|mobile|card|visa|account|ip|host|server|address)\b"
 CREDENTIALS = r"(?i)(?:token|secret|api.?key|access.?key|private.?key|passwo?r?d|credential|bearer)"
@@ -291,18 +293,19 @@ def _tree(node):
     return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION, trees: int = 20, depth: int = 4) -> Model:
-    """Fit on at most `sample` examples: of each kind, label and one of SALTS parts an equal number at most, the least by a hash of their place.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, precision: float = PRECISION, trees: int = 20, depth: int = 4) -> Model:
+    """Fit on all examples. Features are counts and flags, so equal examples are many: a row for each that occurs, with the sum of their weights.
 
-    The number of a part is small enough for Spark to cut rows in each task before they are sent.
+    Halves are by a hash of an example's place, so that both hold the same share of each kind and label.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = _examples(_spans(docs, id_col, text_col)).withColumn("h", F.xxhash64(F.lit(7), "id", "kind", "start", "label", F.hash("f")))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(8), "h"), F.lit(SALTS)))
-    place = F.row_number().over(Window.partitionBy("kind", "label", "part").orderBy("h", "start"))
-    rows = staged(rows.withColumn("place", place).where(F.col("place") <= max(1, sample // (2 * len(ALL) * SALTS))).withColumn("half", F.pmod("h", F.lit(2))), "candidates")
+    half = F.pmod(F.xxhash64(F.lit(7), "id", "kind", "start", "label", F.hash("f")), F.lit(2)).alias("half")
+    rows = _examples(_spans(docs, id_col, text_col)).groupBy("kind", "label", half, "f").agg(F.count("*").alias("n"), (F.sum(F.round(F.col("weight") * 1000).cast("long")) / 1000).alias("weight"))
+    rows = staged(rows, "examples")
+    held = rows.groupBy("kind", "label").agg(F.sum("n").alias("held"))  # two rows a kind
+    rows = rows.join(F.broadcast(held), ["kind", "label"]).withColumn("weight", F.col("weight") * F.least(F.lit(1.0), F.lit(float(share)) / F.col("held")))
     counts = {r["label"] for r in rows.where("half = 0").groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model([], {})
@@ -310,7 +313,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     model = GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11).fit(train)
     java = model._java_obj.trees()
     found = Model([(float(w), _tree(java[k].rootNode())) for k, w in enumerate(model.treeWeights)], {})
-    graded = rows.where("half = 1").withColumn("score", F.round(found.score(F.col("f")), 3)).groupBy("kind", "score").agg(F.sum("label").alias("hits"), F.sum("weight").alias("n"))
+    graded = rows.where("half = 1").withColumn("score", F.round(found.score(F.col("f")), 3)).groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n"))
     by_kind: dict[str, list] = {}
     for r in graded.collect():  # 1,001 scores a kind at most
         by_kind.setdefault(r["kind"], []).append((r["score"], r["hits"], r["n"]))

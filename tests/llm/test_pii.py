@@ -171,3 +171,22 @@ def test_digest_columns(spark, tmp_path):
     assert r[50]["n_spans"] == len(want.split(",")) + r[50]["n_added"]
     assert [x for x in r[50]["spans"].split(",") if x in want.split(",")] == want.split(",")
     assert r[50]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_every_example_is_used(spark, monkeypatch):
+    """More examples of a kind than SHARE: each still weighs, equal ones are one row, and a kind's weight is SHARE at most."""
+    from pyspark.ml.classification import GBTClassifier
+
+    seen = []
+    real = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: seen.append(rows) or real(self, rows))
+    docs = spark.createDataFrame([(k, f"write to user{k}@host{k % 7}.example.org or call +44 20 7946 {k:04d} now, part {k} of 10.20.30.{k % 250}") for k in range(400)], "doc_id long, text string")
+    pii.fit(docs, share=50, trees=2)
+    weights = seen[0].agg({"weight": "sum", "*": "count"}).first()
+    total = pii._examples(pii._spans(docs, "doc_id", "text"))
+    kinds = total.groupBy("kind", "label").count().collect()
+    assert max(r["count"] for r in kinds) > 400 and weights["count(1)"] < total.count() / 4
+    assert weights["sum(weight)"] <= 50 * len(kinds)
+    whole = total.select("label", "f").distinct().count()
+    both = spark.read.parquet(seen[0].inputFiles()[0].rsplit("/", 1)[0])
+    assert both.select("label", "f").distinct().count() == whole and both.agg({"n": "sum"}).first()[0] == total.count()
