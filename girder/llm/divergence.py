@@ -5,7 +5,7 @@ MIN_DOCS of its documents hold. Every (lang, source) group, and every language a
 p = 1 + floor(SCALE * (count + 1) / (N + V)), with N the sum of its counts of kept terms. A value is
 f = floor((p - q) * (p - q) / q), p the group's. All numbers are whole, so nothing depends on the order of sums.
 
-The plan is relational: terms are exploded beside each text and counted by group with a partial aggregation before the only shuffle of
+The plan is relational: terms are counted by group within batches of texts, which Spark adds up before the only shuffle of
 that size; windows over the counted terms find the kept ones, which are written once. Kept terms meet the groups of their language (dealt by language and a salt, so that one
 language is many tasks), which fills in zeros; the filled table meets itself on language and term, and sums and ranks follow.
 Ranks to `top` are cut in each task before rows are sent.
@@ -17,21 +17,48 @@ read; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.llm.common import ascii_lower, staged
+from girder.llm.common import staged
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, and the texts of which a task counts the terms at a time.
+OTHER, ROWS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", 2000
 MIN_DOCS, SCALE, TOP, SALTS = 3, 1_000_000_000, 200, 64
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of each group's terms in batches of (lang, source, text): terms are numbered by a dictionary and counted as numbers."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            lists = pc.split_pattern_regex(pc.ascii_lower(batch.column(2)), OTHER)
+            terms = lists.flatten()
+            filled = pc.greater(pc.binary_length(terms), 0)
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())[filled.to_numpy(zero_copy_only=False)]
+            coded = terms.filter(filled).dictionary_encode()
+            names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            if not len(code):
+                continue
+            group = pa.array([f"{len(a)} {a}{b}" for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            width = len(names)
+            in_doc, n = np.unique(doc * width + code, return_counts=True)
+            first, term = in_doc // width, in_doc % width
+            place, held, back = np.unique(group[first] * width + term, return_index=True, return_inverse=True)
+            sample = pa.array(first[held])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(sample), batch.column(1).take(sample), names.take(pa.array(place % width)), pa.array(np.bincount(back, n).astype(np.int64)), pa.array(np.bincount(back))], names=["lang", "source", "term", "n", "n_docs"])
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, n_docs): occurrences and documents of every term in every group."""
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(_name(lang_col, "lang"), _name(source_col, "source"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
-    both = rows.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
-    return both.select("lang", "source", "once", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("n_docs"))
+    rows = docs.select(_name(lang_col, "lang"), _name(source_col, "source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, n_docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def _name(column: str, alias: str) -> Column:

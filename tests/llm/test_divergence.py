@@ -53,3 +53,26 @@ def test_counts_beyond_a_long_product(spark):
     n, total, v = 9 * 10**15, 10**16, 1000
     row = spark.range(1).select(_share(F.lit(n), F.lit(total), F.lit(v)).alias("p")).first()
     assert row["p"] == 1 + 10**9 * (n + 1) // (total + v)
+
+
+def test_batches_of_texts_give_the_counts_of_a_plain_loop(spark, monkeypatch):
+    """Terms are counted in numbers, batch by batch: awkward texts, groups whose names run together, and no explode of terms."""
+    import random
+
+    from girder.llm import divergence as module
+
+    rng = random.Random(4)
+    parts = ["Ä", "ä", "É9x", "İ", "\U0001f600", "A", "b", "Zz", " ", "\x00", "\n", "@", "[", "`", "{", "\x7f", "\x80", " ", "-", "word", "Word"]
+    texts = [None, "", " 12 "] + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)]
+    rows = [(t, rng.choice(["a", "ab", None]), rng.choice(["bc", "c", "", None])) for t in texts]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(2)
+    n, held = Counter(), Counter()
+    for t, lang, source in rows:
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+        found = [(lang or "", source or "", x) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)]
+        n.update(found)
+        held.update(set(found))
+    got = module.term_counts(docs)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(module, "ROWS", 7)
+    assert {(r["lang"], r["source"], r["term"]): (r["n"], r["n_docs"]) for r in got.collect()} == {k: (n[k], held[k]) for k in n}
