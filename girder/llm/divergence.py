@@ -5,10 +5,11 @@ MIN_DOCS of its documents hold. Every (lang, source) group, and every language a
 p = 1 + floor(SCALE * (count + 1) / (N + V)), with N the sum of its counts of kept terms. A value is
 f = floor((p - q) * (p - q) / q), p the group's. All numbers are whole, so nothing depends on the order of sums.
 
-The plan is relational: terms are counted by group within batches of texts, which Spark adds up before the only shuffle of
-that size; windows over the counted terms find the kept ones, which are written once. Kept terms meet the groups of their language (dealt by language and a salt, so that one
-language is many tasks), which fills in zeros; the filled table meets itself on language and term, and sums and ranks follow.
-Ranks to `top` are cut in each task before rows are sent.
+Terms are counted by group within batches of texts, which Spark adds up before the only shuffle of
+that size; windows over the counted terms find the kept ones, which are written once, and give each occurring term its p and q: terms are ranked from
+these alone. For the pairs, the kept terms are dealt by language and a salt, so that one language is many tasks, and sorted by term behind
+a head row for each source of the language (its p of a term that it lacks). A task reads them as they come, a few thousand terms x sources at a time as a matrix,
+and sends one partial sum for each pair. Ranks to `top` are cut in each task before rows are sent.
 
 Defined cases: a null text, lang or source is read as ''; a group without terms still appears, with value 0 where its language keeps
 no term; a language with one source has no pairs; rows are counted, so repeated rows and ids count as often as they occur and ids are never
@@ -18,6 +19,7 @@ read; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from girder.llm.common import staged
 #: What stands between terms, and the texts of which a task counts the terms at a time.
 OTHER, ROWS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", 2000
 MIN_DOCS, SCALE, TOP, SALTS = 3, 1_000_000_000, 200, 64
+#: Terms x sources that a task holds as a matrix at a time.
+CELLS = 1 << 18
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +81,47 @@ def _stray(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Where a row's (lang, salt, term) is not that of the row before."""
+    new = np.ones(rows.num_rows, bool)
+    apart = [pc.not_equal(rows[c].slice(1), rows[c].slice(0, max(rows.num_rows - 1, 0))).to_numpy() for c in ("lang", "salt", "term")]
+    new[1:] = np.logical_or.reduce(apart)
+    return new
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums of f over terms for each ordered pair of sources. Rows come by lang, salt and term, heads (no term) first."""
+    rest, head = [], None
+    for batch in chain(batches, [None]):
+        rows = pa.Table.from_batches([*rest, *([] if batch is None else [batch])]) if rest or batch is not None else None
+        if rows is None or not rows.num_rows:
+            continue
+        rows = rows.combine_chunks()
+        new = _begins(rows)
+        end = rows.num_rows if batch is None else int(np.flatnonzero(new)[-1])  # the last term may go on
+        rest = rows.slice(end).to_batches()
+        new, heads = new[:end], pc.equal(rows["term"], "").to_numpy()[:end]
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(new & heads), np.flatnonzero(new & ~heads & np.roll(heads, 1)), [end]]))
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            part = rows.slice(at, to - at)
+            if heads[at]:
+                head = part["lang"][0].as_py(), part["source"].combine_chunks(), part["p"].to_numpy()
+                continue
+            lang, sources, none = head
+            term = np.cumsum(new[at:to]) - 1
+            source, p = pc.index_in(part["source"], value_set=sources).to_numpy(), part["p"].to_numpy()
+            most = max(CELLS // len(sources), 1)
+            for k in range(0, int(term[-1]) + 1, most):
+                lo, hi = np.searchsorted(term, [k, k + most])
+                shares = np.repeat(none[None, :], int(term[hi - 1]) + 1 - k, 0)
+                shares[term[lo:hi] - k, source[lo:hi]] = p[lo:hi]
+                for item in range(len(sources)):
+                    q = shares[:, item, None]
+                    f = np.delete(((shares - q) ** 2 // q).sum(0), item)
+                    others = pa.array(np.delete(np.arange(len(sources)), item))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), sources.take(others), pa.array([sources[item].as_py()] * len(f), pa.string()), pa.array(f)], names=["lang", "source", "item", "f"])
+
+
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` ranks the other sources, part `term` the terms a group has more of than its language."""
     groups = staged(docs.select(_name(lang_col, "lang"), _name(source_col, "source")).distinct(), "groups")
@@ -85,22 +130,17 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     counts = staged(held.where(F.col("d") >= min_docs).select("lang", "source", "term", "n", "lang_n", "first"), "kept")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.when(F.col("first"), 1)).alias("v"))
     langs = staged(totals.groupBy("lang").agg(F.sum("v").alias("v"), F.sum("total").alias("lang_total")), "langs")
-    sized = groups.join(totals.drop("v"), ["lang", "source"], "left").join(langs, "lang").fillna(0, "total")
-    sized = staged(sized, "sized").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    kept = counts.where("first").select("lang", "term", "lang_n", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt"))
-    wide = kept.join(sized, ["lang", "salt"]).drop("salt").join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, "n")
-    dense = staged(wide.select("lang", "term", "source", "n", "lang_n", _share(F.col("n"), F.col("total"), F.col("v")).alias("p")), "dense")
-
-    # two sources meet once for each term and give both directions
-    p, q = F.col("p"), F.col("q")
-    other = dense.select("lang", "term", F.col("source").alias("item"), p.alias("q"))
-    met = dense.join(other, ["lang", "term"]).where(F.col("source") < F.col("item")).groupBy("lang", "source", "item").agg(F.sum(_stray(p, q)).alias("there"), F.sum(_stray(q, p)).alias("back"))
-    met = met.select("lang", F.inline(F.array(F.struct("source", "item", F.col("there").alias("f")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("f")))))
+    sized = staged(groups.join(totals.drop("v"), ["lang", "source"], "left").join(langs, "lang").fillna(0, "total"), "sized")
+
+    total, v, salts = F.col("total"), F.col("v"), F.lit(SALTS)
+    shares = counts.join(sized, ["lang", "source"]).withColumn("p", _share(F.col("n"), total, v))
+    heads = sized.select("lang", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit("").alias("term"), "source", _share(F.lit(0).cast("long"), total, v).alias("p"))
+    dealt = heads.unionByName(shares.select("lang", F.pmod(F.xxhash64("term"), salts).cast("int").alias("salt"), "term", "source", "p"))
+    met = dealt.repartition("lang", "salt").sortWithinPartitions("lang", "salt", "term", "source").mapInArrow(_met, "lang string, source string, item string, f long")
     every = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where(F.col("source") != F.col("item")).select("lang", "source", "item", F.lit(0).cast("long").alias("f"))
     pairs = met.unionByName(every).groupBy("lang", "source", "item").agg(F.sum("f").alias("value"))
-    more = dense.where("n > 0").join(langs, "lang").withColumn("whole", _share(F.col("lang_n"), F.col("lang_total"), F.col("v")))
-    terms = more.where("p > whole").select("lang", "source", F.col("term").alias("item"), _stray(p, F.col("whole")).alias("value"))
+    more = shares.withColumn("whole", _share(F.col("lang_n"), F.col("lang_total"), v))
+    terms = more.where("p > whole").select("lang", "source", F.col("term").alias("item"), _stray(F.col("p"), F.col("whole")).alias("value"))
 
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     ranked = pairs.withColumn("rank", place).withColumn("part", F.lit("pair"))

@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from girder.llm.divergence import divergence
 from tests.llm.helpers import awkward, table
 
@@ -76,3 +78,39 @@ def test_batches_of_texts_give_the_counts_of_a_plain_loop(spark, monkeypatch):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(module, "ROWS", 7)
     assert {(r["lang"], r["source"], r["term"]): (r["n"], r["n_docs"]) for r in got.collect()} == {k: (n[k], held[k]) for k in n}
+
+
+def test_pairs_are_summed_as_matrices_cut_anywhere(spark, monkeypatch):
+    """Terms and heads run over the batches' ends and the matrices' size; no term is joined with the sources it lacks."""
+    import random
+
+    from girder.llm import divergence as module
+
+    rng = random.Random(6)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90)] + ["Ä", "\U0001f600", "ﬀ"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(9))), rng.choice(["en", "de", "é", None]), rng.choice(["a", "b", "c", "d\U0001f600", "", None])) for k in range(400)]
+    rows += [(900, "lonely", "xx", "a"), (901, "", "xx", "b"), (902, None, "xx", "c")]
+    want = brute(rows)
+    for batch in (1, 3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        try:
+            got = divergence(table(spark, rows))
+            assert {tuple(r) for r in got.collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "term#" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in x)
+
+    dealt, want = [], Counter()
+    for lang, salt, sources in (("de", 0, "abc"), ("de", 1, "abc"), ("en", 0, "z"), ("en", 4, "xy")):
+        dealt += [(lang, salt, "", s, 3 + k) for k, s in enumerate(sources)]
+        for t in range(rng.randrange(1, 12)):
+            p = {s: 3 + k for k, s in enumerate(sources)} | {s: rng.randrange(1, 10**9) for s in sources if rng.random() < 0.5 or s == sources[-1]}
+            dealt += [(lang, salt, f"t{t:02}", s, p[s]) for s in sources if p[s] != 3 + sources.index(s)]
+            want.update({(lang, s, o): (p[s] - p[o]) ** 2 // p[o] for s in sources for o in sources if s != o})
+    whole = pa.Table.from_pylist([dict(zip(("lang", "salt", "term", "source", "p"), r, strict=True)) for r in dealt])
+    for cells, batch in ((1, 1), (7, 2), (1 << 18, 5), (6, 1000)):
+        monkeypatch.setattr(module, "CELLS", cells)
+        found = Counter()
+        for r in pa.Table.from_batches(module._met(iter(whole.to_batches(max_chunksize=batch)))).to_pylist():
+            found[r["lang"], r["source"], r["item"]] += r["f"]
+        assert found == want
