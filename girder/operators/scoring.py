@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,10 @@ TASKS = {"significant_delay": ("class", "delay"), "final_delay_days": ("regressi
 
 
 class Registry:
-    """The fitted pipeline of each task, with the medians and columns it is fed with."""
+    """The fitted pipeline of each task, with the medians and columns it is fed with, and after fitting the prepared training rows."""
 
-    def __init__(self, numeric: list[str], text: list[str], fitted: dict[str, tuple[str, PipelineModel]], medians: dict[str, float]):
-        self.numeric, self.text, self.fitted, self.medians = numeric, text, fitted, medians
+    def __init__(self, numeric: list[str], text: list[str], fitted: dict[str, tuple[str, PipelineModel]], medians: dict[str, float], ready: DataFrame | None = None):
+        self.numeric, self.text, self.fitted, self.medians, self.ready = numeric, text, fitted, medians, ready
 
     def save(self, folder: str, spark: SparkSession) -> None:
         for task, (_, model) in self.fitted.items():
@@ -56,7 +57,7 @@ def fit_tasks(train: DataFrame, numeric: list[str], text: list[str], targets: di
     for task, label in targets.items():
         model = models.classifier(families[task], label, n) if TASKS[task][0] == "class" else models.regressor(families[task], label)
         fitted[task] = families[task], PipelineModel(stages=[*prepared.stages, model.fit(ready)])
-    return Registry(numeric, text, fitted, medians)
+    return Registry(numeric, text, fitted, medians, ready)
 
 
 def score_tasks(rows: DataFrame, registry: Registry) -> DataFrame:
@@ -75,6 +76,11 @@ def score_tasks(rows: DataFrame, registry: Registry) -> DataFrame:
     return out.select(*originals, *[c for c in keep if c not in originals])
 
 
+def _preparation(pipeline: PipelineModel) -> tuple[str, ...]:
+    """What tells whether two fitted pipelines prepare rows by the same stages."""
+    return tuple(stage.uid for stage in pipeline.stages[:-1])
+
+
 def batch_scores(features: DataFrame, eligible: DataFrame, registry: Registry, key: str, month: str, needed: list[str]) -> tuple[DataFrame, DataFrame]:
     """(scores, failures) of each key's eligible month in one pass; a row that lacks a needed value fails with the first one's name."""
     rows = features.join(eligible.select(key, F.col("m").alias(month)), [key, month])
@@ -122,35 +128,48 @@ def owners(ready: DataFrame, numeric: list[str], text: list[str]) -> list[str]:
 
 
 def task_attributions(rows: DataFrame, registry: Registry, task: str, key: str | list[str], background: DataFrame) -> DataFrame:
-    """(key, feature, attribution): what each column of a row adds to the fitted task's margin, one-hot parts added up to their column.
+    """(key, feature, attribution) of one task, see `attributions`."""
+    return attributions(rows, registry, [task], key, background).drop("task")
+
+
+def attributions(rows: DataFrame, registry: Registry, tasks: list[str], key: str | list[str], background: DataFrame | None = None) -> DataFrame:
+    """(key, task, feature, attribution): what each column of a row adds to a fitted task's margin, one-hot parts added up to their column.
 
     Linear tasks: coefficient times distance from the background's mean, within the row, without a shuffle; a key's attributions add up to its margin
     (log-odds of a class) less that of the mean. Tree tasks: exact path-dependent shares of the leaves (`explain.tree_attributions`), which need no
-    background. Missing values are filled as for scoring; an empty background leaves a linear task's attributions null.
+    background. Missing values are filled as for scoring; an empty background leaves a linear task's attributions null. Rows and background are
+    prepared once for all linear tasks that share their preparation. Without a background it is the training rows as `fit_tasks` prepared them.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
     keys = [key] if isinstance(key, str) else list(key)
-    family, pipeline = registry.fitted[task]
-    prepared, model = PipelineModel(stages=pipeline.stages[:-1]), pipeline.stages[-1]
-    ready = prepared.transform(models.filled(rows, registry.medians, registry.text))
-    own = owners(ready, registry.numeric, registry.text)
-    if family not in ("logistic", "linear"):
-        names = [f"{k}" for k in range(len(own))]
-        parts = explain.tree_attributions(ready.select(*keys, "features"), keys, "features", names, model)
-        return explain.grouped(parts, keys, dict(zip(names, own, strict=True)))
-    mean = prepared.transform(models.filled(background, registry.medians, registry.text)).agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("__mean"))
-    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
-    apart = F.zip_with(F.zip_with(vector_to_array("features"), F.col("__mean"), lambda x, m: x - m), weights, lambda d, w: d * w)
-    out = ready.join(F.broadcast(mean)).select(*keys, apart.alias("__parts"))
-    sums = []
-    for c in dict.fromkeys(own):
-        total = F.lit(0.0)
-        for k in [k for k, o in enumerate(own) if o == c]:
-            total = total + F.get("__parts", F.lit(k))
-        sums.append(F.struct(F.lit(c).alias("feature"), total.alias("attribution")))
-    return out.select(*keys, F.inline(F.array(*sums)))
+    alike, made = {}, []
+    for task in tasks:
+        alike.setdefault(_preparation(registry.fitted[task][1]), []).append(task)
+    for same in alike.values():
+        prepared = PipelineModel(stages=registry.fitted[same[0]][1].stages[:-1])
+        ready = prepared.transform(models.filled(rows, registry.medians, registry.text)).select(*keys, "features")
+        own, sums = owners(ready, registry.numeric, registry.text), []
+        for task in same:
+            family, model = registry.fitted[task][0], registry.fitted[task][1].stages[-1]
+            if family not in ("logistic", "linear"):
+                names = [f"{k}" for k in range(len(own))]
+                parts = explain.tree_attributions(ready, keys, "features", names, model)
+                made.append(explain.grouped(parts, keys, dict(zip(names, own, strict=True))).withColumn("task", F.lit(task)))
+                continue
+            apart = [(F.get("__x", F.lit(k)) - F.get("__mean", F.lit(k))) * F.lit(float(w)) for k, w in enumerate(model.coefficients)]
+            for c in dict.fromkeys(own):
+                total = sum((apart[k] for k, o in enumerate(own) if o == c), F.lit(0.0))
+                sums.append(F.struct(F.lit(task).alias("task"), F.lit(c).alias("feature"), total.alias("attribution")))
+        if sums:
+            if background is None and registry.ready is None:
+                raise ValueError("a registry that was loaded has no training rows; name a background")
+            around = registry.ready if background is None else prepared.transform(models.filled(background, registry.medians, registry.text))
+            mean = around.agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("__mean"))
+            made.append(ready.select(*keys, vector_to_array("features").alias("__x")).join(F.broadcast(mean)).select(*keys, F.inline(F.array(*sums))))
+    made = [part.select(*keys, "task", "feature", "attribution") for part in made]
+    return reduce(DataFrame.unionByName, made)
 
 
 def scenario_scores(rows: DataFrame, registry: Registry, task: str, key: str, background: DataFrame, outputs: list[str]) -> DataFrame:

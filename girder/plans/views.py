@@ -24,12 +24,14 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     midx = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
-    rows = o.groupBy(F.col("o_custkey").alias("pid"), midx.alias("midx")).agg(
-        F.min(F.date_format("o_orderdate", "yyyy-MM")).alias("month"),
+    # dealt by customer once, for months and windows alike: a customer has hardly more orders than months
+    rows = o.select(F.col("o_custkey").alias("pid"), midx.alias("midx"), "o_orderdate", "o_totalprice", "o_orderstatus").repartition("pid").groupBy("pid", "midx").agg(
+        F.min("o_orderdate").alias("first_date"),
         F.count("*").alias("n_orders"),
         F.round(F.sum("o_totalprice"), 2).alias("cost"),
         F.count_if(F.col("o_orderstatus") == "F").alias("done"),
     )
+    rows = rows.select("pid", "midx", F.date_format("first_date", "yyyy-MM").alias("month"), "n_orders", "cost", "done")
     last = F.max("midx").over(Window.partitionBy("pid"))
     severity = F.when((F.col("pid") + F.col("midx")) % 13 != 0, F.floor(F.col("cost") / 50000))
     return rows.withColumn("is_terminal", F.col("midx") == last).withColumn("severity", severity)
@@ -37,11 +39,14 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terminal rows with recorded outcomes."""
-    t = snapshots(spark, sf_dir).where("is_terminal")
+    return with_outcomes(snapshots(spark, sf_dir).where("is_terminal")).select("pid", "midx", "delay_days", "overrun_pct", "delayed", "overrun")
+
+
+def with_outcomes(rows: DataFrame) -> DataFrame:
     delay = (F.col("n_orders") * 40 - F.col("done") * 15).cast("int")
     over = F.round(F.col("cost") / 20000, 2)
-    rows = t.select("pid", "midx", delay.alias("delay_days"), over.alias("overrun_pct"))
-    return rows.withColumn("delayed", (F.col("delay_days") > 60).cast("int")).withColumn("overrun", (F.col("overrun_pct") > 10.0).cast("int"))
+    rows = rows.withColumns({"delay_days": delay, "overrun_pct": over})
+    return rows.withColumns({"delayed": (F.col("delay_days") > 60).cast("int"), "overrun": (F.col("overrun_pct") > 10.0).cast("int")})
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:

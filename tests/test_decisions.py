@@ -128,3 +128,41 @@ def test_overview_without_scores(spark):
     none = spark.createDataFrame([], "pid int, p_delay double, p_cost double, delay_pred double, cost_pred double, level string, score double")
     r = decisions.predicted_overview(none).first()
     assert r["status"] == "cache_unavailable" and r["n_scored"] == 0 and r["mean_p_delay"] is None and r["n_high"] == 0
+
+
+def test_tasks_are_explained_in_one_pass(spark, panel):
+    """Tasks that share their preparation read rows and background once, and give what each gives alone."""
+    targets = {"significant_delay": "late", "final_delay_days": "days", "cost_overrun": "over", "final_cost_overrun_pct": "pct"}
+    families = {"significant_delay": "logistic", "final_delay_days": "linear", "cost_overrun": "logistic", "final_cost_overrun_pct": "forest"}
+    registry = scoring.fit_tasks(panel, ["x"], ["kind"], targets, families)
+    linear = scoring.attributions(panel, registry, list(targets)[:3], "pid", panel)
+    assert linear._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    both = {(r["pid"], r["task"], r["feature"]): r["attribution"] for r in scoring.attributions(panel, registry, list(targets), "pid", panel).collect()}
+    assert len(both) == 120 * 4 * 2
+    for task in targets:
+        alone = scoring.task_attributions(panel, registry, task, "pid", panel).collect()
+        assert {(r["pid"], task, r["feature"]): r["attribution"] for r in alone} == {k: v for k, v in both.items() if k[1] == task}
+
+
+def test_the_training_rows_are_the_background_by_default(spark, panel):
+    registry = scoring.fit_tasks(panel, ["x"], ["kind"], {"final_delay_days": "days"})
+    given, default = [{(r["pid"], r["feature"]): r["attribution"] for r in scoring.attributions(panel, registry, ["final_delay_days"], "pid", *b).collect()} for b in ([panel], [])]
+    assert given.keys() == default.keys() and all(abs(v - default[k]) < 1e-9 for k, v in given.items())
+    registry.ready = None
+    with pytest.raises(ValueError, match="name a background"):
+        scoring.attributions(panel, registry, ["final_delay_days"], "pid")
+
+
+def test_panel_of_the_models_is_written_once(spark, small):
+    """Orders are not behind the panel any more; splits, outcomes, projects and latest months are those of the joins."""
+    from girder.plans import decisions as plans
+    from girder.plans.views import eligible, outcomes, projects
+
+    rows = plans._features(spark, small)
+    assert "o_custkey" not in (plan := rows._jdf.queryExecution().analyzed().toString()) and "Join" not in plan
+    known = projects(spark, small).select("pid", "ptype").join(outcomes(spark, small).drop("midx"), "pid")
+    want = plans.split_rows(spark, small).drop("start").join(known, "pid").join(eligible(spark, small), "pid", "left")
+    columns = ["pid", "midx", "n_orders", "cost", "done", "severity", "is_terminal", "split", "ptype", "delayed", "overrun", "delay_days", "overrun_pct"]
+    table = lambda df: sorted(map(repr, (tuple(r) for r in df.withColumns({c: F.col(c).cast("double") for c in ("n_orders", "done", "severity", "delay_days")}).select(*columns, "latest").collect())))
+    got = table(rows.withColumn("latest", F.coalesce("is_latest", F.lit(False))))
+    assert got and got == table(want.withColumn("latest", F.coalesce(F.col("midx") == F.col("m"), F.lit(False))))
