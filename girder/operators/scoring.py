@@ -62,16 +62,18 @@ def fit_tasks(train: DataFrame, numeric: list[str], text: list[str], targets: di
 
 def score_tasks(rows: DataFrame, registry: Registry) -> DataFrame:
     """rows with <short>_class, <short>_p or <short>_pred of each task, and <short>_model."""
-    keep = rows.columns
+    keep, prepared = rows.columns, None
     out = models.filled(rows, registry.medians, registry.text)
     for task, (family, pipeline) in registry.fitted.items():
         kind, short = TASKS[task]
-        made = pipeline.transform(out)
+        if prepared != (prepared := _preparation(pipeline)):  # tasks prepared alike share their features
+            out = PipelineModel(stages=pipeline.stages[:-1]).transform(out.select(*keep))
+        made = pipeline.stages[-1].transform(out)
         cols = {f"{short}_model": F.lit(family)}
         cols |= {f"{short}_class": F.col("prediction").cast("int"), f"{short}_p": models.probability()} if kind == "class" else {f"{short}_pred": F.col("prediction")}
         made = made.withColumns(cols)
         keep = [*keep, *cols]
-        out = made.select(*keep)
+        out = made.select(*keep, "features")
     originals = rows.columns
     return out.select(*originals, *[c for c in keep if c not in originals])
 
@@ -190,7 +192,8 @@ def scenario_scores(rows: DataFrame, registry: Registry, task: str, key: str, ba
 
 def simulated(rows: DataFrame, overrides: dict[str, Column | float], score: Callable[[DataFrame], DataFrame], key: str, outputs: list[str]) -> DataFrame:
     """(key, <output>_base, <output>_new, <output>_change): both sides are scored in one pass over rows and their overlays."""
-    both = rows.withColumn("__new", F.lit(False)).unionByName(rows.withColumns({c: F.lit(v) if not isinstance(v, Column) else v for c, v in overrides.items()}).withColumn("__new", F.lit(True)))
+    both = rows.withColumn("__new", F.explode(F.array(F.lit(False), F.lit(True))))
+    both = both.withColumns({c: F.when(F.col("__new"), v).otherwise(F.col(c)) for c, v in overrides.items()})
     scored = score(both)
     side = lambda c, new: F.max(F.when(F.col("__new") == new, F.col(c)))
     out = scored.groupBy(key).agg(*[side(c, new).alias(f"{c}_{n}") for c in outputs for n, new in (("base", False), ("new", True))])

@@ -166,3 +166,18 @@ def test_panel_of_the_models_is_written_once(spark, small):
     table = lambda df: sorted(map(repr, (tuple(r) for r in df.withColumns({c: F.col(c).cast("double") for c in ("n_orders", "done", "severity", "delay_days")}).select(*columns, "latest").collect())))
     got = table(rows.withColumn("latest", F.coalesce("is_latest", F.lit(False))))
     assert got and got == table(want.withColumn("latest", F.coalesce(F.col("midx") == F.col("m"), F.lit(False))))
+
+
+def test_scenarios_prepare_and_read_rows_once(spark, panel):
+    """Tasks prepared alike share their features, and both sides of a what-if come from one reading of the rows."""
+    registry = scoring.fit_tasks(panel, ["x"], ["kind"], {"significant_delay": "late", "final_delay_days": "days"})
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    both = scoring.score_tasks(panel, registry)
+    assert both.columns == [*panel.columns, "delay_model", "delay_class", "delay_p", "delay_days_model", "delay_days_pred"]
+    apart = scoring.fit_tasks(panel, ["x"], ["kind"], {"final_delay_days": "days"})
+    mixed = scoring.Registry(registry.numeric, registry.text, registry.fitted | apart.fitted, registry.medians)
+    assert sorted(map(tuple, scoring.score_tasks(panel, mixed).collect())) == sorted(map(tuple, both.collect()))
+    out = scoring.simulated(panel, {"x": F.col("x") * 2}, lambda rows: scoring.score_tasks(rows, registry), "pid", ["delay_p", "delay_days_pred"])
+    assert plan(out).count("LogicalRDD") == 1 and "Union" not in plan(out) and plan(out).count("AS __num") == 1
+    again = {r["pid"]: r["delay_days_pred"] for r in scoring.score_tasks(panel.withColumn("x", F.col("x") * 2), registry).collect()}
+    assert all(abs(r["delay_days_pred_new"] - again[r["pid"]]) < 1e-9 for r in out.collect())
